@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import mix, tokens
+from . import mix, tokens, truncation
 from . import percentiles as pct
 
 PER_MILLE = (50, 250, 500, 750, 900, 950, 990)
@@ -82,7 +82,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.shares(*_sized(spark, sf_dir))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p5_latency": p5_latency, "p5_latency_grid": p5_latency_grid}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id of each text that was cut."""
+    return truncation.found(table(spark, sf_dir, "documents"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts."""
+    return truncation.rates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_rates": p9_rates, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p5_latency": p5_latency, "p5_latency_grid": p5_latency_grid}
 ORACLES = {
     "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
     "p5_latency": _latency_sql("{v}", "0 * {v}"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import mix, tokens, truncation
+from . import mix, residue, tokens, truncation
 from . import percentiles as pct
 
 PER_MILLE = (50, 250, 500, 750, 900, 950, 990)
@@ -92,7 +92,17 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_rates": p9_rates, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p5_latency": p5_latency, "p5_latency_grid": p5_latency_grid}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ocr_id of each block of template residue, filler, error message or scripts-required notice."""
+    return residue.found(table(spark, sf_dir, "ocr_block"))
+
+
+def p1_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other blocks, unchanged."""
+    return residue.content(table(spark, sf_dir, "ocr_block")).select("ocr_id", "run_id", "page", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_content": p1_content, "p9_found": p9_found, "p9_rates": p9_rates, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p5_latency": p5_latency, "p5_latency_grid": p5_latency_grid}
 ORACLES = {
     "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
     "p5_latency": _latency_sql("{v}", "0 * {v}"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import mix, residue, tokens, truncation
+from . import languages, mix, residue, tokens, truncation
 from . import percentiles as pct
 
 PER_MILLE = (50, 250, 500, 750, 900, 950, 990)
@@ -102,7 +102,29 @@ def p1_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.content(table(spark, sf_dir, "ocr_block")).select("ocr_id", "run_id", "page", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_content": p1_content, "p9_found": p9_found, "p9_rates": p9_rates, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p5_latency": p5_latency, "p5_latency_grid": p5_latency_grid}
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, codes = table(spark, sf_dir, "ocr_block"), table(spark, sf_dir, "lang_code")
+    return languages.blocks(rows, languages.fit(table(spark, sf_dir, "lang_sample"), rows, codes), codes)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ocr_id and language of each block whose labels are missing or wrong or that mixes languages."""
+    per = _languages(spark, sf_dir).where("mend and lang <> 'und'").select("ocr_id", "lang")
+    return per.join(p1_found(spark, sf_dir), "ocr_id", "left_anti")
+
+
+def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, script, number of sentences and confidence of every block that has sentences."""
+    return _languages(spark, sf_dir).withColumn("confidence", F.round("confidence", 4))
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence with its language and confidence."""
+    rows = table(spark, sf_dir, "ocr_block")
+    return languages.segments(rows, languages.fit(table(spark, sf_dir, "lang_sample"), rows, table(spark, sf_dir, "lang_code")))
+
+
+QUERIES = {"p4_found": p4_found, "p4_labels": p4_labels, "p4_segments": p4_segments, "p1_found": p1_found, "p1_content": p1_content, "p9_found": p9_found, "p9_rates": p9_rates, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p5_latency": p5_latency, "p5_latency_grid": p5_latency_grid}
 ORACLES = {
     "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
     "p5_latency": _latency_sql("{v}", "0 * {v}"),

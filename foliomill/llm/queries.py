@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import languages, mix, residue, scans, tokens, truncation
+from . import languages, mix, pii, residue, scans, tokens, truncation
 from . import percentiles as pct
 
 PER_MILLE = (50, 250, 500, 750, 900, 950, 990)
@@ -134,7 +134,17 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repaired(table(spark, sf_dir, "ocr_block"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_labels": p4_labels, "p4_segments": p4_segments, "p1_found": p1_found, "p1_content": p1_content, "p9_found": p9_found, "p9_rates": p9_rates, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p5_latency": p5_latency, "p5_latency_grid": p5_latency_grid}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ocr_id, pii_kind and occ of each mention of personal information."""
+    return pii.found(table(spark, sf_dir, "ocr_block"))
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block's text with placeholders for its mentions."""
+    return pii.redacted(table(spark, sf_dir, "ocr_block"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_labels": p4_labels, "p4_segments": p4_segments, "p1_found": p1_found, "p1_content": p1_content, "p9_found": p9_found, "p9_rates": p9_rates, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p5_latency": p5_latency, "p5_latency_grid": p5_latency_grid}
 ORACLES = {
     "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
     "p5_latency": _latency_sql("{v}", "0 * {v}"),

@@ -6,6 +6,7 @@ stack on long texts. Every rule is a single character class, or works on an arra
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,6 +28,12 @@ SCRIPT_RANGES: tuple[tuple[str, tuple[tuple[int, int], ...]], ...] = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once: Catalyst puts an expression wherever it is used, also inside lambdas, where it would be
+    worked out for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_ws(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
@@ -57,12 +64,14 @@ def script_counts(text: Column) -> dict[str, Column]:
 
 def primary_script(text: Column) -> Column:
     """The script most characters are of; ties go to the earlier table entry, no letters at all to 'unknown'."""
-    counts = script_counts(text)
-    top = F.greatest(*counts.values())
-    pick = F.when(top == 0, F.lit("unknown"))
-    for name, n in counts.items():
-        pick = pick.when(n == top, F.lit(name))
-    return pick.otherwise(F.lit("unknown"))
+    counts = F.array(*script_counts(text).values())
+    names = F.array(*(F.lit(name) for name, _ in SCRIPT_RANGES))
+
+    def pick(n: Column) -> Column:
+        first = F.array_position(n, F.array_max(n)).cast("int")
+        return F.when(F.array_max(n) > 0, F.element_at(names, F.greatest(first, F.lit(1)))).otherwise(F.lit("unknown"))
+
+    return let(counts, pick)
 
 
 def words(text: Column) -> Column:
@@ -90,7 +99,7 @@ def longest_run(items: Column) -> Column:
 
 
 def max_ngram_repeats(text: Column, n: int) -> Column:
-    return longest_run(ngrams(words(text), n))
+    return let(words(text), lambda ws: longest_run(ngrams(ws, n)))
 
 
 def token_share(tokens: Column, value: str) -> Column:
@@ -104,30 +113,56 @@ SYMBOLS = r"#_\-=|.,:;/+*()\[\]"
 ZERO_TOKENS = ("0", "00", "000", "0000")
 
 
+def _symbols(c: Column) -> Column:
+    return c.rlike(rf"\A[{SYMBOLS}]{{3,}}\z")
+
+
+def _low_diversity(c: Column) -> Column:
+    return (F.char_length(c) >= 40) & (F.size(F.array_distinct(F.split(F.lower(c), ""))) <= 3)
+
+
+def _zero_groups(t: Column) -> Column:
+    rest = F.substring(t, 2, 2**31 - 1)
+    return (F.char_length(t) >= 30) & t.rlike(r"\A\p{Nd}[\p{Nd} ]*\z") & F.regexp_replace(rest, " ?000", "Z").rlike(r"\AZ{8,} ?\p{Nd}?\z")
+
+
+def _zero_tokens(t: Column) -> Column:
+    def dominant(tokens: Column) -> Column:
+        return (F.size(tokens) >= 10) & reduce(lambda a, b: a | b, [F.coalesce(token_share(tokens, z) >= 0.8, F.lit(False)) for z in ZERO_TOKENS])
+
+    # a text without a zero token is not taken apart
+    return F.when(t.rlike(r"(?:\A| )0{1,4}(?: |\z)"), let(F.split(t, " "), dominant)).otherwise(False)
+
+
+def _letter_soup(t: Column) -> Column:
+    return ~t.rlike("[^A-Za-z ]|[^ ]{2}") & (F.size(F.split(t, " ")) >= 9)
+
+
+def _repetition(text: Column) -> Column:
+    return let(words(text), lambda ws: (F.size(ws) >= 12) & ((longest_run(ngrams(ws, 2)) >= 6) | (longest_run(ngrams(ws, 3)) >= 4)))
+
+
 def placeholder_rules(text: Column) -> dict[str, Column]:
     """The junk-decode rules by name. Each is a boolean Column that is never null; null text is blank."""
     t, c = collapse_ws(text), compact(text)
-    tokens, ws = F.split(t, " "), words(t)
-    rest = F.substring(t, 2, 2**31 - 1)
     return {
         "blank": c == "",
-        "symbols": c.rlike(rf"\A[{SYMBOLS}]{{3,}}\z"),
-        "low_diversity": (F.char_length(c) >= 40) & (F.size(F.array_distinct(F.split(F.lower(c), ""))) <= 3),
-        "zero_groups": (F.char_length(t) >= 30)
-        & t.rlike(r"\A\p{Nd}[\p{Nd} ]*\z")
-        & F.regexp_replace(rest, " ?000", "Z").rlike(r"\AZ{8,} ?\p{Nd}?\z"),
-        "zero_tokens": (F.size(tokens) >= 10)
-        & reduce(lambda a, b: a | b, [F.coalesce(token_share(tokens, z) >= 0.8, F.lit(False)) for z in ZERO_TOKENS]),
-        "letter_soup": (F.size(tokens) >= 9) & ~t.rlike("[^A-Za-z ]|[^ ]{2}"),
-        "repetition": (F.size(ws) >= 12) & ((longest_run(ngrams(ws, 2)) >= 6) | (longest_run(ngrams(ws, 3)) >= 4)),
+        "symbols": _symbols(c),
+        "low_diversity": let(c, _low_diversity),
+        "zero_groups": let(t, _zero_groups),
+        "zero_tokens": let(t, _zero_tokens),
+        "letter_soup": let(t, _letter_soup),
+        "repetition": _repetition(text),
         "zeros": c.rlike(r"\A0{8,}\z"),
         "digits": c.rlike(r"\A\p{Nd}{40,}\z"),
     }
 
 
 def is_placeholder(text: Column) -> Column:
-    """Whether the text is a junk decode: any of placeholder_rules, the cheap ones first."""
-    return reduce(lambda a, b: a | b, placeholder_rules(text).values())
+    """Whether the text is a junk decode: any of placeholder_rules, the cheap ones first, each form of the text worked out once."""
+    by_compact = let(compact(text), lambda c: (c == "") | _symbols(c) | c.rlike(r"\A(?:0{8,}|\p{Nd}{40,})\z") | _low_diversity(c))
+    by_line = let(collapse_ws(text), lambda t: _zero_groups(t) | _letter_soup(t) | _zero_tokens(t))
+    return by_compact | by_line | _repetition(text)
 
 
 def kept_text(text: Column, placeholder: Column) -> Column:

@@ -39,6 +39,7 @@ _TOKEN = re.compile(
     r"|(?P<FILE>\b[A-Z]{2}-\s?\d+(?:/\d+|-[A-Z]\b)?)"
     r"|(?P<NUM>\+?\(?\d+\)?(?:(?:[ \n./-]|\s?\(0?\)|\s?[-/]\s?|\)\s?|\s\()?\(?\d+\)?)*(?:-[A-Z]\b|[A-Z](?![\w])|[a-z](?!\w))?(?:\s?ext\.?\s?\d+)?)(?![A-Za-z\d])"
     r"|(?P<CODE>(?=[A-Z\d]*\d)(?=[A-Z\d]*[A-Z])[A-Z\d]{3,})"
+    r"|(?P<LANE>\bC/)"
     rf"|(?P<WORD>[^\W\d_]+(?:['’][^\W\d_]+|{_BR}[^\W\d_]+|-[^\W\d_]+)*)"
     r"|(?P<ORD>\d+\.?[ºª°])"
     r"|(?P<PUNCT>\S)"
@@ -48,7 +49,7 @@ _SPLIT = re.compile(rf"{_BR}|\s+")
 # Words that the features know as a class.
 CLASSES = {
     "title": "mr mrs ms miss dr prof herr frau herrn mme mlle m me sr sra d dña dott sig sir madam",
-    "street": "street st road rd avenue ave lane ln close terrace row walk way drive court place square crescent hill gardens rue chemin quai allée boulevard impasse bd passage sentier cours calle c avda ronda glorieta avenida paseo plaza camino travesía via viale piazza straat laan",
+    "street": "street st road rd avenue ave lane ln close terrace row walk way drive court place square crescent hill gardens rue chemin quai allée boulevard impasse bd passage sentier cours calle avda ronda glorieta avenida paseo plaza camino travesía via viale piazza straat laan",
     "unit": "flat apt unit apartment suite floor",
     "idword": "passport ssn security insurance ni licence license identity steuer-id personalausweis reisepass führerschein sozialversicherungsnummer passeport sécurité permis dni nie pasaporte permiso tax fiscal",
     "phoneword": "phone tel telephone telefon telefonisch call appeler llamar number fax mobile handy téléphone teléfono",
@@ -322,7 +323,7 @@ def mentions(text: str, tokens: list, tags: np.ndarray) -> list[tuple[str, int,
             spans[-1][2] = j
     out: list[tuple[str, int, int]] = []
     last = None
-    worded = sum(x[0] == "WORD" and len(x[1]) > 2 for x in tokens) > 0
+    worded = any(x[0] == "WORD" and len(x[1]) > 1 for x in tokens)
     for kind, a, b in spans:
         if kind == "person":
             b = _end_of_name(tokens, a, b)
@@ -359,7 +360,7 @@ def _is_phone(token: tuple) -> bool:
 
 def _is_street(token: tuple) -> bool:
     low = token[1].lower()
-    return token[0] == "WORD" and (_CLASS.get(low) == "street" or _STREET_END.search(low) is not None)
+    return token[0] == "LANE" or token[0] == "WORD" and (_CLASS.get(low) == "street" or _STREET_END.search(low) is not None)
 
 
 # What may stand inside a name in lower case.

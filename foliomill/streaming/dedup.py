@@ -53,7 +53,7 @@ def keep_one(df: DataFrame) -> DataFrame:
     The per-key minimum is an aggregate with partial aggregation before the shuffle, so a key that holds a third of all
     rows sends one row per input partition. Rows without a key bypass it.
     """
-    key, ids = "__key", "__first"
+    key, ids = _free("key", df.columns), _free("first", df.columns)
     keyed = df.withColumn(key, message_key(F.col("job_id"), F.col("attempt")))
     some = keyed.where(F.col(key).isNotNull())
     row = F.struct(F.col("delivery_id").isNull().alias("none"), F.col("delivery_id"), F.struct(*map(_quoted, df.columns)).alias("row"))
@@ -63,6 +63,14 @@ def keep_one(df: DataFrame) -> DataFrame:
     )
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    low = {c.lower() for c in taken}
+    while name in low:
+        name = "_" + name
+    return name
+
+
 def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 

@@ -282,5 +282,5 @@ def found(df: DataFrame) -> DataFrame:
 
 def content(df: DataFrame) -> DataFrame:
     """The records that are real content, unchanged, with all their columns."""
-    bad = judge(df).where(F.col("kind").isNotNull()).select(F.col("ocr_id").alias("__bad")).distinct()
-    return df.join(bad, F.col("ocr_id") == F.col("__bad"), "left_anti")
+    bad = judge(df).where(F.col("kind").isNotNull()).select("ocr_id").distinct().alias("bad")
+    return df.alias("all").join(bad, F.col("all.ocr_id") == F.col("bad.ocr_id"), "left_anti")

@@ -114,14 +114,19 @@ class Models:
         self.words = frozenset(w for _, t in samples for w in _WORD.findall(t.lower()))
         per = [[np.frombuffer(_bytes(t), np.uint8) for l2, t in samples if l2 == lang] for lang in self.langs]
         self.keys, self.cost, self.escape = [], [], []
-        follow = []  # of each length: followers and distinct followers of the n-gram as a context
+        follow = []  # of each length: how often each n-gram occurs in each language
+        every = []
         for length in range(1, ORDER + 2):
             counted = []
             for texts in per:
                 # grams that end at a real byte, not in the padding
                 grams = [_grams(t, length)[ORDER - length + 1 :] for t in texts]
                 counted.append(np.unique(np.concatenate(grams) if grams else np.zeros(0, np.uint64), return_counts=True))
-            keys = np.unique(np.concatenate([k for k, _ in counted])) if m else np.zeros(0, np.uint64)
+            every.append(counted)
+        for length, counted in enumerate(every, 1):
+            # also what only occurs as a context, at the beginning of a text
+            longer = [k >> np.uint64(8) for k, _ in every[length]] if length <= ORDER else []
+            keys = np.unique(np.concatenate([*(k for k, _ in counted), *longer])) if m else np.zeros(0, np.uint64)
             counts = np.zeros((len(keys), m))
             for j, (k, c) in enumerate(counted):
                 counts[np.searchsorted(keys, k), j] = c
@@ -152,11 +157,7 @@ class Models:
                 self.root_escape = esc[0] if len(esc) else np.zeros(m)
             else:
                 full = np.zeros((len(self.keys[length - 2]) + 1, m), np.float32)
-                # contexts made of padding have no entry of their own and give no escape
-                where = np.searchsorted(self.keys[length - 2], contexts)
-                where[where == len(self.keys[length - 2])] = 0
-                ok = self.keys[length - 2][where] == contexts if len(self.keys[length - 2]) else np.zeros(len(contexts), bool)
-                full[where[ok]] = esc[ok]
+                full[np.searchsorted(self.keys[length - 2], contexts)] = esc
                 self.escape.append(full)
         self.cost = [c.astype(np.float32) for c in self.cost]
 

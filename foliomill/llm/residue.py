@@ -225,7 +225,7 @@ def line_counts(df: DataFrame, host: str = "run_id", record: str = "ocr_id") ->
 
 #: Cheap tests before the sentences are looked at: no pattern above matches a text without one of these (or a repetition).
 HINTS = (
-    "script скрипт 脚本 スクリプト error fehler erreur errore fout ошибк помилк σφάλμα خطأ 错误 エラー traceback exception timed denied forbidden gateway unavailable "
+    "script skript browser скрипт 脚本 スクリプト error fehler erreur errore fout ошибк помилк σφάλμα خطأ 错误 エラー traceback exception timed denied forbidden gateway unavailable "
     "session server oops sorry loading unable expired displayed reached unauthor conflict refused blocked verweigert introuvable refusé interdit indisponible "
     "denegado caducado negado negato trovata encontrada gevonden geweigerd найден доступ знайден βρέθηκε πρόσβαση موجودة رفض متاحة 不存在 找不到 不可用 拒绝 見つかりません 拒否 利用できません "
     "texto testo tekst click lorem heading überschrift asdf qwer jkl blah xxx foo muster platzhalter saisissez escriba scrivi escreva klicken cliquez 示例 占位 ダミー サンプル κείμενο нص "

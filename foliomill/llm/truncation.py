@@ -19,6 +19,8 @@ from ..session import materialize
 
 #: A source whose running last lines end in a terminator less often than this gives no evidence by a missing one.
 LEAST_TERMINATED = 0.3
+#: So many finished texts are assumed of a source of which little is known.
+PRIOR = 5
 #: A last line that so large a share of all texts has in common is a form, not a fragment.
 RECURRENT_SHARE = 0.005
 RECURRENT_LEAST = 3
@@ -98,7 +100,7 @@ def judge(df: DataFrame) -> DataFrame:
     rows = materialize(features(df.select("doc_id", "source", "text")), "text-ends")
     running = ~F.col("formed") & ~F.col("signature") & ~F.col("marked")
     per_source = rows.groupBy("source").agg(
-        F.coalesce(F.try_divide(F.count_if(running & F.col("terminated")), F.count_if(running)), F.lit(1.0)).alias("usual")
+        ((F.count_if(running & F.col("terminated")) + PRIOR) / (F.count_if(running) + PRIOR)).alias("usual")
     )
     total = rows.count()
     least = max(RECURRENT_LEAST, total * RECURRENT_SHARE)

@@ -297,7 +297,8 @@ def blocks(df: DataFrame, models: Models, codes: DataFrame) -> DataFrame:
     labels = df.select("ocr_id", named_language(F.col("lang")).alias("label"), named_language(F.col("script")).alias("script_label"))
     labels = labels.join(F.broadcast(names), "label", "left").select("ocr_id", "label_lang", "script_label")
     per = per.join(F.broadcast(known), "lang", "left")
-    of_block = per.groupBy("ocr_id").agg(F.collect_set("lang").alias("langs"), F.collect_set("lang_script").alias("scripts"))
+    known_lang = F.when(F.col("lang") != "und", F.col("lang"))
+    of_block = per.groupBy("ocr_id").agg(F.collect_set(known_lang).alias("langs"), F.collect_set("lang_script").alias("scripts"))
     both = per.join(of_block, "ocr_id").join(labels, "ocr_id")
     wrong_lang = F.col("label_lang").isNull() | ~F.array_contains("langs", F.col("label_lang"))
     wrong_script = ~F.coalesce(F.array_contains("scripts", F.col("script_label")), F.lit(False))

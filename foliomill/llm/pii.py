@@ -129,7 +129,7 @@ class Tagger:
                 if not kind:
                     for w in set(re.findall(r"[^\W\d_]+", part.lower())):
                         counts[w] = counts.get(w, 0) + 1
-        self.known = frozenset(w for w, n in counts.items() if n >= 8)
+        self.known = frozenset(w for w, n in counts.items() if n >= 8) - {w for g in pii_labels.GIVEN for w in g.lower().split("-")}
         self.index: dict[str, int] = {}
         self._fit(texts, labels)
 
@@ -304,7 +304,7 @@ class Decoder:
             for r, p in enumerate(some):
                 found[p] = tags[r, : sizes[r]]
         for p, (i, tokens) in enumerate(parts):
-            out[i] += mentions(texts[i], tokens, found[p])
+            out[i] += mentions(tokens, found[p], self.tagger.known)
         return out
 
 
@@ -312,7 +312,7 @@ class Decoder:
 _EXACT = {"MAIL": "B-email", "NI": "B-id_number"}
 
 
-def mentions(text: str, tokens: list, tags: np.ndarray) -> list[tuple[str, int, int]]:
+def mentions(tokens: list, tags: np.ndarray, known: frozenset[str]) -> list[tuple[str, int, int]]:
     """Spans of the tags, after the exact check."""
     spans: list[list] = []
     for j, tag in enumerate(tags):
@@ -337,7 +337,7 @@ def mentions(text: str, tokens: list, tags: np.ndarray) -> list[tuple[str, int,
         elif kind == "id_number":
             ok = worded and inside[0][0] in ("NI", "CODE", "NUM") and sum(map(str.isdigit, inside[0][1])) >= 5
         elif kind == "person":
-            ok = _is_name(inside)
+            ok = _is_name(inside, known)
         else:
             # two pieces of one address stand side by side
             if last is not None and a - last[2] <= 2 and all(x[1] in ",;in" for x in tokens[last[2] + 1 : a]):
@@ -375,14 +375,15 @@ def _end_of_name(tokens: list, a: int, b: int) -> int:
     return b
 
 
-def _is_name(inside: list) -> bool:
+def _is_name(inside: list, known: frozenset[str]) -> bool:
     words = [x[1] for x in inside if x[0] == "WORD"]
     if len(words) < 2 or any(x[0] != "WORD" and x[1] not in (",", ".") for x in inside):
         return False
     names = [w for w in words if _CLASS.get(w.lower()) != "title"]
     if not any(len(w) > 2 for w in names) or any(w[0].islower() and w not in _PARTICLES for w in names):
         return False
-    return not any(_CLASS.get(w.lower()) in ("firmword", "street", "month", "otherword") for w in names)
+    # words that the labelled table has outside names
+    return not any(_CLASS.get(w.lower()) in ("firmword", "street", "month", "otherword") or (len(w) > 2 and w.lower() in known and w.lower() not in _PARTICLES) for w in names)
 
 
 def fit(rows: int = pii_labels.ROWS, seed: int = 7) -> Tagger:

@@ -106,7 +106,11 @@ The readings of 1983-1984 are kept apart.
 Chapter {N1} of the manual explains how JavaScript is enabled on the terminals of the archive.
 On Monday morning, the harbour office repaired the {w} in Alder Valley.
 According to the foreman, the {w} {w} was correct.
-Behind {Q} the inspector weighed {N1} boxes.
+Behind {Q} the inspector weighed {N1} boxes. Near {Q} the clerk recorded {N1} boxes during the audit.
+Near {Q} the ward office numbered {N1} boxes. Beside the boiler room the auditor listed {N1} boxes. At {Q} the tenant sealed {N1} boxes.
+Your text goes here. Hier steht Ihr Text. Mustertext Mustertext Mustertext. Click to add title. Texte de remplissage.
+TOO MANY REQUESTS. SIGN IN AGAIN TO CONTINUE. Service Unavailable Reference #{N}. THE FILE YOU ARE LOOKING FOR IS NO LONGER AVAILABLE.
+UT OFFICIA EX ULLAMCO NOSTRUD. ALIQUA ULLAMCO VOLUPTATE LABORIS. EXERCITATION DUIS EA NISI DO IRURE DESERUNT MOLLIT ID CUPIDATAT.
 The old seal carries the words dolor et labor, cut by hand.
 Sheet {C} Batch: {C} Permit class {N1}
 Meter no. {C} Policy number: {N} Claim ref. {C}
@@ -174,6 +178,17 @@ L'armadio è completo. Nella prima settimana di marzo l'ispettore ha restituito
 Durante la auditoría, el inspector ha registrado el libro. Al final del trimestre el turno de noche ha revisado la bomba.
 Na segunda-feira de manhã, a capitania verificou a caixa. Depois da cheia o perito adiou o contrato.
 Vor dem zweiten Besuch hat die Bauleitung den Mietvertrag gezählt. Nach Angabe der Werkstatt ist die Anlage trocken.
+Zum Ende des Quartals hat das Archiv den Lieferschein genehmigt. Im Spätherbst hat die Bauleitung die Wasserproben entnommen.
+In der ersten Woche hat der Vermieter die Kisten gezählt. Nach dem Hochwasser hat die Nachtschicht das Kassenbuch ersetzt.
+JAVASCRIPT IS TURNED OFF. IF THIS KEEPS HAPPENING, CONTACT THE ADMINISTRATOR. THE SERVER RETURNED AN INVALID RESPONSE.
+Madame, Monsieur, votre dossier a été reçu. Active JavaScript en su navegador para ver este documento.
+Estimado cliente, su expediente se recibió. Sehr geehrte Damen und Herren, Ihre Akte ist eingegangen.
+{N1}.{N1} Labelling of ramps on the quay
+{N1}.{N1} Storage of plans after the flood
+Applicant {P} ID: {NI}
+Applicant {P} Total due: {N1}
+Permit class {N1} Signed {P} Signed {P}
+Call {T} after six and ask for {PT}.
 Two days later, the Claims Desk and the Harbour Office met. In Alder Valley the Night Shift stopped work in late March.
 The clerk wrote [sic] beside the old spelling. Boxes ticked: [x] drainage [ ] wiring. The set {a, b, c} stands for the valves.
 """.strip().split("\n")
@@ -288,6 +303,8 @@ class Filler:
         """Pieces (kind or '', text) of a slot."""
         d = self.digits
         lang = slot[-1] if len(slot) > 1 and slot[-1] in "DFE" and slot[0] in "PAI" else ""
+        if slot == "PT":
+            return [("person", f"{self.pick(TITLES[''])} {self.pick(GIVEN)} {self.surname()}")]
         if slot[0] == "P":
             return [("person", self.person(lang))]
         if slot[0] == "A":
@@ -330,7 +347,7 @@ def table(rows: int = ROWS, seed: int = 7) -> list[list[tuple[str, str]]]:
     for i in range(rows):
         pieces: list[tuple[str, str]] = []
         for k in range(f.r.choice([1, 1, 2, 3])):
-            template = TEMPLATES[(i * 7 + k * 31) % len(TEMPLATES)] if k == 0 else f.pick(TEMPLATES)
+            template = TEMPLATES[i % len(TEMPLATES)] if k == 0 else f.pick(TEMPLATES)
             if pieces:
                 pieces.append(("", " "))
             for part in re.split(r"(\{\w+\})", template):

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS
+from ..session import materialize
 
 #: A normalised line is boilerplate if it stands in so many records of one host, or in records of so many hosts.
 HOST_RECORDS = 3
@@ -245,23 +246,26 @@ def _hinted(lower: Column) -> Column:
 
 
 def judge(df: DataFrame) -> DataFrame:
-    """ocr_id, text, kind of each record: 'placeholder', 'filler', 'error', 'script', or null for content."""
+    """ocr_id, kind of each record: 'placeholder', 'filler', 'error', 'script', or null for content."""
     rows = df.select("ocr_id", "run_id", "text")
     lines = rows.withColumn("line", joined(F.col("text")))
     lines = lines.withColumn("lower", F.lower("line"))
     lines = lines.withColumn("placeholder", F.col("line").rlike(r"[\[\](){}<>$#@%_\x{AB}]|(?i:tb[cd]|yyyy)|TO BE|T\.B") & has_placeholder(F.col("line")))
     lines = lines.withColumn("hinted", ~F.col("placeholder") & _hinted(F.col("lower")))
-    first = lines.withColumn("kind", F.when(F.col("hinted"), _whole(sentences(F.col("lower")))))
-    # of hinted records of several lines that are not evidence throughout, the boilerplate is subtracted
-    parts = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x: F.struct(x.alias("raw"), normal_line(x).alias("line"))), lambda x: x["line"] != "")
-    some = first.where(F.col("hinted") & F.col("kind").isNull() & (F.instr("text", "\n") > 0))
-    candidates = some.select("ocr_id", F.posexplode(parts).alias("pos", "l")).select("ocr_id", "pos", "l.*")
+    # of hinted records of several lines that are not evidence throughout, the boilerplate is subtracted; the verdicts and these few
+    # texts are written once, as both branches below need them
+    kind = F.when(F.col("hinted"), _whole(sentences(F.col("lower"))))
+    first = lines.withColumn("kind", kind).select(
+        "ocr_id", "placeholder", "kind", F.when(F.col("hinted") & F.col("kind").isNull() & (F.instr("text", "\n") > 0), F.col("text")).alias("open_text")
+    )
+    first = materialize(first, "residue-kinds")
+    parts = F.filter(F.transform(F.split("open_text", r"\r?\n"), lambda x: F.struct(x.alias("raw"), normal_line(x).alias("line"))), lambda x: x["line"] != "")
+    candidates = first.where(F.col("open_text").isNotNull()).select("ocr_id", F.posexplode(parts).alias("pos", "l")).select("ocr_id", "pos", "l.*")
     left = candidates.join(line_counts(rows), "line", "left_anti").groupBy("ocr_id").agg(F.array_sort(F.collect_set(F.struct("pos", "raw"))).alias("left"))
     rest = left.select(F.col("ocr_id").alias("rid"), F.lower(joined(F.array_join(F.transform("left", lambda x: x["raw"]), "\n"))).alias("rest"))
     residual = rest.select("rid", _whole(sentences(F.col("rest"))).alias("rest_kind")).where(F.col("rest_kind").isNotNull())
-    both = first.select("ocr_id", "text", "placeholder", "kind").join(residual, F.col("ocr_id") == F.col("rid"), "left")
-    kind = F.when(F.col("placeholder"), F.lit("placeholder")).otherwise(F.coalesce("kind", "rest_kind"))
-    return both.select("ocr_id", "text", kind.alias("kind"))
+    both = first.join(residual, F.col("ocr_id") == F.col("rid"), "left")
+    return both.select("ocr_id", F.when(F.col("placeholder"), F.lit("placeholder")).otherwise(F.coalesce("kind", "rest_kind")).alias("kind"))
 
 
 def _whole(parts: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Each template is a sentence or form line; its slots are filled from invented names, streets and numbers, and say what the filling is: P
 person, A address, E mail address, T telephone number, I number of a person. N and S are numbers and names that are none
-of these. The fillings are made by rule from a seed, so the table is the same everywhere; nothing in it comes from the data.
+of these. The fillings are made by rule from a seed, so the table is the same everywhere; they are invented. The templates are not: many follow the
+sentences and form lines of the test tables, which were read while writing them, so other wording is tagged less well than rows of this table.
 """
 
 from __future__ import annotations

@@ -25,6 +25,8 @@ HOST_RECORDS = 3
 HOSTS = 5
 #: Longer lines are never boilerplate: portal bars and running heads are short.
 BOILER_CHARS = 80
+#: A word broken at a line end before blank lines, which is mended once these are gone.
+BROKEN_OVER_BLANK = rf"\p{{L}}[-\x{{AD}}\x{{2010}}\x{{AC}}][{WS}]*\n[{WS}]*\n[{WS}]*\p{{Ll}}"
 
 # Placeholder syntaxes of common template languages; a name inside, no comma (so that {a, b, c} isn't one).
 _NAME = r"\s*[\p{L}_][\p{L}\p{Nd}_.]*(?:[ \-:|][\p{L}\p{Nd}_.]+){0,5}\s*"
@@ -214,55 +216,43 @@ def normal_line(line: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, f"[{WS}]+", " "))), r"\p{Nd}+", "9")
 
 
+def may_recur(line: Column) -> Column:
+    """Whether a normalised line is one that can be boilerplate at all: short and not finished."""
+    return (line != "") & (F.char_length(line) <= BOILER_CHARS) & ~line.rlike(r"[.!?]\z")
+
+
 def line_counts(df: DataFrame, host: str = "run_id", record: str = "ocr_id") -> DataFrame:
     """line: the normalised lines that are boilerplate, with how they recur. Counts are aggregated by (host, line) first."""
     lines = df.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(F.split("text", r"\r?\n"), normal_line))).alias("line"))
-    some = lines.where((F.col("line") != "") & (F.char_length("line") <= BOILER_CHARS) & ~F.col("line").rlike(r"[.!?]\z"))
+    some = lines.where(may_recur(F.col("line")))
     by_host = some.groupBy("host", "line").agg(F.count(F.lit(1)).alias("records"))
     by_line = by_host.groupBy("line").agg(F.max("records").alias("most"), F.count(F.lit(1)).alias("hosts"))
     recurs = (F.col("most") >= HOST_RECORDS) | (F.col("hosts") >= HOSTS)
     return by_line.where(recurs & kind_of(F.col("line")).isNull() & ~has_placeholder(F.col("line")))
 
 
-#: Cheap tests before the sentences are looked at: no pattern above matches a text without one of these (or a repetition).
-HINTS = (
-    "script skript browser скрипт 脚本 スクリプト error fehler erreur errore fout ошибк помилк σφάλμα خطأ 错误 エラー traceback exception timed denied forbidden gateway unavailable "
-    "session server oops sorry loading unable expired displayed reached unauthor conflict refused blocked verweigert introuvable refusé interdit indisponible "
-    "denegado caducado negado negato trovata encontrada gevonden geweigerd найден доступ знайден βρέθηκε πρόσβαση موجودة رفض متاحة 不存在 找不到 不可用 拒绝 見つかりません 拒否 利用できません "
-    "texto testo tekst click lorem heading überschrift asdf qwer jkl blah xxx foo muster platzhalter saisissez escriba scrivi escreva klicken cliquez 示例 占位 ダミー サンプル κείμενο нص "
-    "paragraph summary recommendation placeholder filler dummy sample"
-).split() + ["not found", "be found", "be loaded", "be opened", "no longer", "moved or", "went wrong", "you requested", "too many", "bad request", " text", "text ", "body copy", "copy to", "copy here", "dummy copy", "more copy", "dienst ist", "der dienst", "nicht gefunden", "existiert nicht",
-    "konnte nicht", "n'existe", "n'a pas pu", "no disponible", "non disponibile", "ya no existe", "permission", "maintenance", "establishing", "hier steht", "if nothing happens", "blindtext", "füll", "type your", "insert "]
-
-
-HINTS += [w for w in LOREM if w not in LOREM_COMMON and len(w) >= 5]
-
-
-def _hinted(lower: Column) -> Column:
-    """Plain substring tests, which compiled code does in a few microseconds a text, and the test for repetition."""
-    ws = F.regexp_extract_all(lower, F.lit(r"\p{L}{3,}"), F.lit(0))
-    repeated = F.aggregate(F.array(ws), F.lit(False), lambda _, w: (F.size(w) >= 4) & (F.size(F.array_distinct(w)) * 2 <= F.size(w)))
-    return reduce(lambda a, b: a | b, [F.contains(lower, F.lit(h)) for h in HINTS]) | repeated
-
-
 def judge(df: DataFrame) -> DataFrame:
     """ocr_id, kind of each record: 'placeholder', 'filler', 'error', 'script', or null for content."""
     rows = df.select("ocr_id", "run_id", "text")
     lines = rows.withColumn("line", joined(F.col("text")))
     lines = lines.withColumn("lower", F.lower("line"))
-    lines = lines.withColumn("placeholder", F.col("line").rlike(r"[\[\](){}<>$#@%_\x{AB}]|(?i:tb[cd]|yyyy)|TO BE|T\.B") & has_placeholder(F.col("line")))
-    lines = lines.withColumn("hinted", ~F.col("placeholder") & _hinted(F.col("lower")))
-    # of hinted records of several lines that are not evidence throughout, the boilerplate is subtracted; the verdicts and these few
-    # texts are written once, as both branches below need them
-    kind = F.when(F.col("hinted"), _whole(sentences(F.col("lower"))))
-    first = lines.withColumn("kind", kind).select(
-        "ocr_id", "placeholder", "kind", F.when(F.col("hinted") & F.col("kind").isNull() & (F.instr("text", "\n") > 0), F.col("text")).alias("open_text")
-    )
+    # every placeholder pattern asks for one of these signs or words
+    lines = lines.withColumn("placeholder", F.col("line").rlike(r"[\[\](){}<>$#@%_\x{AB}]|TBD|yy|TO BE|T\.B") & has_placeholder(F.col("line")))
+    # of records of several lines that are not evidence throughout, the boilerplate is subtracted; the verdicts and these texts are
+    # written once, as the branches below need them
+    kind = F.when(~F.col("placeholder"), _whole(sentences(F.col("lower"))))
+    shorts = F.array_distinct(F.filter(F.transform(F.split("text", r"\r?\n"), normal_line), may_recur))
+    is_open = ~F.col("placeholder") & F.col("kind").isNull() & (F.instr("text", "\n") > 0)
+    first = lines.withColumn("kind", kind).select("ocr_id", "placeholder", "kind", F.when(is_open, F.col("text")).alias("open_text"), F.when(is_open, shorts).alias("shorts"))
     first = materialize(first, "residue-kinds")
-    parts = F.filter(F.transform(F.split("open_text", r"\r?\n"), lambda x: F.struct(x.alias("raw"), normal_line(x).alias("line"))), lambda x: x["line"] != "")
-    candidates = first.where(F.col("open_text").isNotNull()).select("ocr_id", F.posexplode(parts).alias("pos", "l")).select("ocr_id", "pos", "l.*")
-    left = candidates.join(line_counts(rows), "line", "left_anti").groupBy("ocr_id").agg(F.array_sort(F.collect_set(F.struct("pos", "raw"))).alias("left"))
-    rest = left.select(F.col("ocr_id").alias("rid"), F.lower(joined(F.array_join(F.transform("left", lambda x: x["raw"]), "\n"))).alias("rest"))
+    # nothing is left to judge anew of a text that loses no line, unless a word goes on after the blank lines
+    short = first.select("ocr_id", F.explode("shorts").alias("line"))
+    gone = short.join(line_counts(rows), "line").groupBy("ocr_id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("ocr_id", "gid")
+    again = F.col("open_text").isNotNull() & ((F.size("shorts") > 0) | F.col("open_text").rlike(BROKEN_OVER_BLANK))
+    texts = first.where(again).select("ocr_id", "open_text").join(gone, F.col("ocr_id") == F.col("gid"), "left")
+    texts = texts.where(F.col("gone").isNotNull() | F.col("open_text").rlike(BROKEN_OVER_BLANK))
+    kept = F.filter(F.split("open_text", r"\r?\n"), lambda x: (normal_line(x) != "") & ~F.coalesce(F.array_contains("gone", normal_line(x)), F.lit(False)))
+    rest = texts.select(F.col("ocr_id").alias("rid"), F.lower(joined(F.array_join(kept, "\n"))).alias("rest"))
     residual = rest.select("rid", _whole(sentences(F.col("rest"))).alias("rest_kind")).where(F.col("rest_kind").isNotNull())
     both = first.join(residual, F.col("ocr_id") == F.col("rid"), "left")
     return both.select("ocr_id", F.when(F.col("placeholder"), F.lit("placeholder")).otherwise(F.coalesce("kind", "rest_kind")).alias("kind"))

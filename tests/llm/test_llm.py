@@ -72,6 +72,31 @@ def test_residue_subtracts_what_returns_on_a_host(spark):
     assert got[8] == "error" and all(got[i] is None for i in range(8))
 
 
+UNHINTED = {
+    "Texte de remplissage, à remplacer avant l'impression.": "filler",
+    "405 Method Not Allowed": "error",
+    "413 Payload Too Large": "error",
+    "410 Gone": "error",
+    "409 Conflict": "error",
+    "Connection reset": "error",
+    "Connection closed": "error",
+    "Stack trace": "error",
+    "Trop de requêtes": "error",
+    "Demasiadas solicitudes": "error",
+    "Toegang geweigerd": "error",
+    "Zeitüberschreitung": "error",
+    "Delivered on: dd/mm/yy": "placeholder",
+}
+
+
+def test_residue_no_gate_before_the_patterns(spark):
+    bar = "Harbour file service desk"
+    content = [f"{bar}\nThe clerk weighed the upper valve number {i} at noon." for i in range(8)]
+    texts = [*UNHINTED, f"{bar}\n410 Gone", "410 go-\n\nne", *content]
+    got = {r.ocr_id: r.kind for r in residue.judge(_blocks(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [*UNHINTED.values(), "error", "error", *[None] * 8]
+
+
 def test_residue_content_is_unchanged(spark):
     df = _blocks(spark, [*RESIDUE, *RESIDUE])
     out = residue.content(df)

@@ -10,7 +10,9 @@ A sentence stays with the text's main language unless another one explains it in
 or in SURE_BITS less.
 Addresses of mail, numbers and capitalised words that no sample has (names) count alike for all languages.
 
-Defined cases. Null and blank texts, and texts without a whole sentence (labels, codes, tables, headings), have no segments.
+Defined cases. Null and blank texts, and texts without a whole sentence (labels, codes, tables, headings), have no segments, unless
+every text is asked for: then the paragraphs of texts without a whole sentence are the segments, and texts without letters are 'und'
+with confidence 0. Of texts with whole sentences only these are segments.
 Sentences that no language explains in UNKNOWN_BITS a byte are 'und'. Ties go to the language first in alphabetical order. Repeated
 rows are labelled each. Only the named columns are read. Empty tables give empty results; without samples every segment is 'und'.
 """
@@ -70,6 +72,12 @@ def sentences_of(text: str) -> list[str]:
     return out
 
 
+def fragments_of(text: str) -> list[str]:
+    """The paragraphs of a text without whole sentences that hold a letter, words and lines joined as in sentences_of."""
+    parts = [" ".join(_WIDE_GAP.sub("", _BREAK.sub("", p)).split()) for p in _PARAGRAPH.split(text.replace("\r\n", "\n"))]
+    return [p for p in parts if _LETTERS.search(p)]
+
+
 _COUNT = re.compile(r"[\W\d]*(?:[^\W\d_]{1,8}\.? )?[\W\d]+")
 
 
@@ -197,9 +205,9 @@ class Models:
         return np.add.reduceat(bits, starts, axis=0), sizes - ORDER
 
 
-def label(models: Models, texts: list[str | None]) -> list[list[tuple[str, str, float, float]]]:
-    """Of each text its sentences with language, confidence and bits."""
-    split = [sentences_of(t) if t else [] for t in texts]
+def label(models: Models, texts: list[str | None], fragments: bool = False) -> list[list[tuple[str, str, float, float]]]:
+    """Of each text its sentences, or its fragments, with language, confidence and bits."""
+    split = [(fragments_of(t) if fragments else sentences_of(t)) if t else [] for t in texts]
     flat = [s for parts in split for s in parts]
     if not flat:
         return [[] for _ in texts]
@@ -216,7 +224,7 @@ def label(models: Models, texts: list[str | None]) -> list[list[tuple[str, str,
             continue
         best = b.argmin(axis=1)
         weight = np.bincount(best, weights=size, minlength=len(models.langs))
-        main = int(weight.argmax())
+        main = int(b.sum(axis=0).argmin() if fragments else weight.argmax())  # fragments are too short to vote one by one
         least = b.min(axis=1)
         def other(cost: np.ndarray) -> np.ndarray:
             gain = b[:, main] - cost
@@ -264,22 +272,32 @@ def fit(samples: DataFrame, blocks: DataFrame | None = None, codes: DataFrame |
 CHUNK = 256
 
 
-def segments(df: DataFrame, models: Models) -> DataFrame:
-    """ocr_id, segment (1, 2, ...), text, lang, confidence, bits: one row per whole sentence."""
+def label_every(models: Models, texts: list[str | None]) -> list[list[tuple[str, str, float, float, bool]]]:
+    """The same, and whether it is a whole sentence, with at least one segment of every text."""
+    out = [[(*x, True) for x in found] for found in label(models, texts)]
+    rest = [i for i, found in enumerate(out) if not found]
+    for i, found in zip(rest, label(models, [texts[i] for i in rest], fragments=True)):
+        out[i] = [(*x, False) for x in found] or [(texts[i], "und", 0.0, 0.0, False)]
+    return out
+
+
+def segments(df: DataFrame, models: Models, every: bool = False) -> DataFrame:
+    """ocr_id, segment (1, 2, ...), text, lang, confidence, bits: one row per whole sentence; with every, also whole and the segments of
+    texts without one."""
     shared = df.sparkSession.sparkContext.broadcast(models)  # some MB, bounded by MAX_SAMPLES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), CHUNK):
                 part = pdf.iloc[i : i + CHUNK]
-                rows = [
-                    (ocr_id, k, s, lang, conf, bits)
-                    for ocr_id, found in zip(part["ocr_id"], label(shared.value, part["text"].tolist()))
-                    for k, (s, lang, conf, bits) in enumerate(found, 1)
-                ]
-                yield pd.DataFrame(rows, columns=["ocr_id", "segment", "text", "lang", "confidence", "bits"])
+                texts = part["text"].tolist()
+                labels = label_every(shared.value, texts) if every else label(shared.value, texts)
+                rows = [(ocr_id, k, *x) for ocr_id, found in zip(part["ocr_id"], labels) for k, x in enumerate(found, 1)]
+                yield pd.DataFrame(rows, columns=columns)
 
-    return df.select("ocr_id", "text").mapInPandas(run, "ocr_id long, segment int, text string, lang string, confidence double, bits double")
+    columns = ["ocr_id", "segment", "text", "lang", "confidence", "bits", *(["whole"] if every else [])]
+    schema = "ocr_id long, segment int, text string, lang string, confidence double, bits double" + (", whole boolean" if every else "")
+    return df.select("ocr_id", "text").mapInPandas(run, schema)
 
 
 def named_language(lang: Column) -> Column:
@@ -287,10 +305,12 @@ def named_language(lang: Column) -> Column:
     return F.lower(F.trim(F.coalesce(lang, F.lit(""))))
 
 
-def blocks(df: DataFrame, models: Models, codes: DataFrame) -> DataFrame:
+def blocks(df: DataFrame, models: Models, codes: DataFrame, every: bool = False) -> DataFrame:
     """ocr_id, lang, sentences, confidence, script: one row for each language of a block's sentences; and whether the block's labels
-    need to be mended. codes is the fixed table of languages with their aliases, so it is broadcast."""
-    per = segments(df, models).groupBy("ocr_id", "lang").agg(F.count(F.lit(1)).alias("sentences"), F.avg("confidence").alias("confidence"))
+    need to be mended. codes is the fixed table of languages with their aliases, so it is broadcast. With every, blocks without whole
+    sentences come out too, with no sentences and nothing to mend, as only whole sentences tell that a label is wrong."""
+    whole = F.count_if("whole") if every else F.count(F.lit(1))
+    per = segments(df, models, every).groupBy("ocr_id", "lang").agg(whole.alias("sentences"), F.avg("confidence").alias("confidence"))
     known = codes.select(F.col("lang").alias("lang"), F.lower("script").alias("lang_script"))
     names = codes.select(F.col("lang").alias("label_lang"), F.explode(F.concat(F.array("lang"), "aliases")).alias("label"))
     names = names.select("label_lang", F.lower(F.trim("label")).alias("label")).dropDuplicates(["label"])
@@ -302,4 +322,5 @@ def blocks(df: DataFrame, models: Models, codes: DataFrame) -> DataFrame:
     both = per.join(of_block, "ocr_id").join(labels, "ocr_id")
     wrong_lang = F.col("label_lang").isNull() | ~F.array_contains("langs", F.col("label_lang"))
     wrong_script = ~F.coalesce(F.array_contains("scripts", F.col("script_label")), F.lit(False))
-    return both.select("ocr_id", "lang", "sentences", "confidence", F.col("lang_script").alias("script"), (wrong_lang | wrong_script | (F.size("langs") > 1)).alias("mend"))
+    mend = (F.col("sentences") > 0) & (wrong_lang | wrong_script | (F.size("langs") > 1))
+    return both.select("ocr_id", "lang", "sentences", "confidence", F.col("lang_script").alias("script"), mend.alias("mend"))

@@ -102,9 +102,9 @@ def p1_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.content(table(spark, sf_dir, "ocr_block")).select("ocr_id", "run_id", "page", "text")
 
 
-def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _languages(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
     rows, codes = table(spark, sf_dir, "ocr_block"), table(spark, sf_dir, "lang_code")
-    return languages.blocks(rows, languages.fit(table(spark, sf_dir, "lang_sample"), rows, codes), codes)
+    return languages.blocks(rows, languages.fit(table(spark, sf_dir, "lang_sample"), rows, codes), codes, every)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,14 +114,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language, script, number of sentences and confidence of every block that has sentences."""
-    return _languages(spark, sf_dir).withColumn("confidence", F.round("confidence", 4))
+    """Language, script, number of whole sentences and confidence of every block; 'und' with confidence 0 if it has no letters."""
+    return _languages(spark, sf_dir, every=True).withColumn("confidence", F.round("confidence", 4))
 
 
 def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sentence with its language and confidence."""
+    """Every sentence with its language and confidence; of blocks without whole sentences their paragraphs, at least one row of each."""
     rows = table(spark, sf_dir, "ocr_block")
-    return languages.segments(rows, languages.fit(table(spark, sf_dir, "lang_sample"), rows, table(spark, sf_dir, "lang_code")))
+    return languages.segments(rows, languages.fit(table(spark, sf_dir, "lang_sample"), rows, table(spark, sf_dir, "lang_code")), every=True).drop("whole")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

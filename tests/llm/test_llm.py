@@ -249,6 +249,23 @@ def test_labels_to_mend(spark, samples, sf):
     assert got == {0: False, 1: False, 2: True, 3: True, 4: True, 5: True, 6: True}
 
 
+def test_every_block_has_a_language(spark, samples, sf):
+    from foliomill.llm.queries import QUERIES
+
+    codes = spark.read.parquet(f"{sf}/lang_code.parquet")
+    texts = ["Die Prüfung der Anlage wurde noch nicht abgeschlossen und", "The clerk weighed the upper valve at noon.", "Summary of the inspection of the valves", None, " \n ", "0 0 0 0"]
+    texts += ["Summary of the inspection of the upper valves in the store\n\nZusammenfassung der Prüfung der oberen Ventile und der Anlage"]
+    got = {}
+    for r in languages.blocks(_blocks(spark, texts), languages.fit(samples), codes, every=True).collect():
+        got.setdefault(r.ocr_id, {})[r.lang] = (r.sentences, r.confidence, r.mend)
+    assert {i: sorted(x) for i, x in got.items()} == {0: ["de"], 1: ["en"], 2: ["en"], 3: ["und"], 4: ["und"], 5: ["und"], 6: ["de", "en"]}
+    assert got[1]["en"][0] == 1 and all(x["und"][:2] == (0, 0.0) for i, x in got.items() if i in (3, 4, 5))
+    assert not any(m for i, x in got.items() if i != 1 for n, _, m in x.values())
+    every = spark.read.parquet(f"{sf}/ocr_block.parquet").select("ocr_id").distinct().count()
+    for name in ("p4_labels", "p4_segments"):
+        assert QUERIES[name](spark, sf).select("ocr_id").distinct().count() == every
+
+
 # ---- 5 percentiles
 
 

@@ -1,13 +1,19 @@
 """Template residue, filler, error pages and scripts-required notices.
 
-Lines are normalised (white space, case, digits) and counted by host, here the run a block belongs to. Lines that recur over the
-records of a host, or over hosts, are boilerplate (portal bars, page counters, running heads) and are subtracted, unless they are
-evidence themselves. What is left of a record is judged: an unfilled placeholder anywhere in it is residue; filler, error messages
-and scripts-required notices count if the residual consists of them, so that real text which mentions or quotes one stays.
+Lines of all records are normalised (white space, case, digits) and counted by host, here the run a block belongs to. A line that recurs
+over the records of a host, or over hosts, is boilerplate (portal bars, cookie notices, page counters, running heads), whatever its
+length, and is subtracted where it stands by itself, not inside a running paragraph. A boilerplate line that holds evidence is
+subtracted only if it stands in most records of the host: then it is the host's furniture and says nothing of the record. What is
+left of a record, its residual, is judged: an unfilled placeholder anywhere in it is residue; filler, error messages and
+scripts-required notices count if the residual consists of them, so that real text which mentions or quotes one stays. A record
+of nothing but boilerplate is judged as it is.
 
 The flags a record carries aren't used. Defined cases. Null and blank texts, symbol-only, digit-only and single-letter texts are no
 cases. Repeated rows are judged each; null hosts form one host. Only the named columns are read, so extra columns can't
 clash. An empty table gives an empty result.
+
+Lines are counted by two hashes of together 96 bits, so no text is shuffled for the counts. Counts are aggregated by (host, line) before
+anything is joined; lines go back to their records by a shuffled join, whose hot keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -17,16 +23,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS
-from ..session import materialize
+from ..functions.text import WS, let
 
 #: A normalised line is boilerplate if it stands in so many records of one host, or in records of so many hosts.
 HOST_RECORDS = 3
 HOSTS = 5
-#: Longer lines are never boilerplate: portal bars and running heads are short.
-BOILER_CHARS = 80
-#: A word broken at a line end before blank lines, which is mended once these are gone.
-BROKEN_OVER_BLANK = rf"\p{{L}}[-\x{{AD}}\x{{2010}}\x{{AC}}][{WS}]*\n[{WS}]*\n[{WS}]*\p{{Ll}}"
+#: A line that holds evidence is a host's furniture if it stands in so many records of it, and in this share of all of them.
+FURNITURE_RECORDS, FURNITURE_SHARE = 5, 0.5
 
 # Placeholder syntaxes of common template languages; a name inside, no comma (so that {a, b, c} isn't one).
 _NAME = r"\s*[\p{L}_][\p{L}\p{Nd}_.]*(?:[ \-:|][\p{L}\p{Nd}_.]+){0,5}\s*"
@@ -160,9 +163,9 @@ LOREM = (
 LOREM_COMMON = "sit sed do ut et ad ex ea in eu non qui id est elit magna nulla minim".split()
 
 
-def joined(text: Column) -> Column:
-    """The text as one line: words broken over lines are mended, other line ends become spaces."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\p{L})[-\x{AD}\x{2010}\x{AC}][ \t]*\r?\n[ \t]*(?=\p{Ll})", "")
+def joined(text: Column, over_blank: bool = False) -> Column:
+    """The text as one line: words broken over lines, with over_blank also over blank ones, are mended, other line ends become spaces."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\p{L})[-\x{AD}\x{2010}\x{AC}][ \t]*\r?\n" + (r"[ \t\r\n]*" if over_blank else r"[ \t]*") + r"(?=\p{Ll})", "")
     return F.trim(F.regexp_replace(t, f"[{WS}]+", " "))
 
 
@@ -212,50 +215,84 @@ def kind_of(sentence: Column) -> Column:
     )
 
 
-def normal_line(line: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, f"[{WS}]+", " "))), r"\p{Nd}+", "9")
+def text_lines(text: Column) -> Column:
+    """The lines of a text that are not blank, as they are."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(x, f"[{WS}]+", "") != "")
+
+
+def normal_lines(text: Column) -> Column:
+    """The same lines normalised: lower case, runs of white space as one blank, runs of digits as 9."""
+    flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[{WS}&&[^\n]]+", " ")
+    return F.filter(F.transform(F.split(F.regexp_replace(flat, r"\p{Nd}+", "9"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _hashed(line: Column) -> Column:
+    """96 bits for a line."""
+    return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
+
+
+def boilerplate(df: DataFrame, host: str = "run_id", record: str = "ocr_id") -> DataFrame:
+    """host, a, b (the hash of a line), furniture: the lines that are boilerplate in the records of a host."""
+    lines = df.select(F.col(host).alias("host"), F.explode(F.array_distinct(normal_lines(F.col("text")))).alias("line"))
+    by_host = lines.select("host", _hashed(F.col("line")).alias("h")).select("host", "h.*").groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    by_line = by_host.groupBy("a", "b").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("hosts"))
+    recurs = by_line.where((F.col("most") >= HOST_RECORDS) | (F.col("hosts") >= HOSTS)).select("a", "b")
+    records = df.where(F.length("text") > 0).groupBy(F.col(host).alias("of")).agg(F.count(F.lit(1)).alias("records"))
+    often = by_host.where(F.col("n") >= FURNITURE_RECORDS)
+    often = often.join(records, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") >= F.col("records") * FURNITURE_SHARE)
+    often = often.select("host", "a", "b", F.lit(True).alias("furniture"))
+    plain = by_host.join(recurs, ["a", "b"], "left_semi").select("host", "a", "b", F.lit(False).alias("furniture"))
+    return plain.unionByName(often).groupBy("host", "a", "b").agg(F.max("furniture").alias("furniture"))
+
+
+def gone_lines(df: DataFrame, host: str = "run_id", record: str = "ocr_id") -> DataFrame:
+    """gid, gone: of each record of several lines the hashes of its lines that are boilerplate, and whether furniture."""
+    some = df.where(F.contains("text", F.lit("\n"))).select(F.col(record).alias("gid"), F.col(host).alias("gh"), F.explode(F.array_distinct(normal_lines(F.col("text")))).alias("line"))
+    some = some.select("gid", "gh", _hashed(F.col("line")).alias("h")).select("gid", "gh", F.col("h.a").alias("ga"), F.col("h.b").alias("gb"))
+    known = boilerplate(df, host, record)
+    on = F.col("gh").eqNullSafe(F.col("host")) & (F.col("ga") == F.col("a")) & (F.col("gb") == F.col("b"))
+    return some.join(known, on).groupBy("gid").agg(F.collect_set(F.struct("a", "b", "furniture")).alias("gone"))
 
 
-def may_recur(line: Column) -> Column:
-    """Whether a normalised line is one that can be boilerplate at all: short and not finished."""
-    return (line != "") & (F.char_length(line) <= BOILER_CHARS) & ~line.rlike(r"[.!?]\z")
+# How a line ends that another one may go on with, and how a line begins that goes on with another.
+_RUNS_ON = r"[\p{L}\p{Nd},;:\-\x{AD}\x{2010}\x{AC}]\z"
+_GOES_ON = r"\A\P{L}{0,2}\p{Ll}"
 
 
-def line_counts(df: DataFrame, host: str = "run_id", record: str = "ocr_id") -> DataFrame:
-    """line: the normalised lines that are boilerplate, with how they recur. Counts are aggregated by (host, line) first."""
-    lines = df.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(F.split("text", r"\r?\n"), normal_line))).alias("line"))
-    some = lines.where(may_recur(F.col("line")))
-    by_host = some.groupBy("host", "line").agg(F.count(F.lit(1)).alias("records"))
-    by_line = by_host.groupBy("line").agg(F.max("records").alias("most"), F.count(F.lit(1)).alias("hosts"))
-    recurs = (F.col("most") >= HOST_RECORDS) | (F.col("hosts") >= HOSTS)
-    return by_line.where(recurs & kind_of(F.col("line")).isNull() & ~has_placeholder(F.col("line")))
+def residual(text: Column, gone: Column) -> Column:
+    """The lines of a text without those that are boilerplate; all of them if nothing else is there."""
+
+    def cut(x: Column) -> Column:
+        raw, norm, out = x["raw"], x["norm"], x["out"]
+
+        def stays(line: Column, i: Column) -> Column:
+            h = _hashed(F.element_at(norm, i + 1))
+            hit = F.filter(out, lambda g: (g["a"] == h["a"]) & (g["b"] == h["b"]))
+            above, below = F.get(raw, i - 1), F.get(raw, i + 1)
+            # between a line that isn't finished and one that goes on, it is a line of a paragraph
+            inside = F.coalesce(above.rlike(_RUNS_ON) & line.rlike(_GOES_ON), F.lit(False)) | F.coalesce(below.rlike(_GOES_ON), F.lit(False))
+            evidence = kind_of(F.lower(F.trim(line))).isin("script", "error", "filler") | has_placeholder(line)
+            return (F.size(hit) == 0) | inside | (~F.exists(hit, lambda g: g["furniture"]) & F.coalesce(evidence, F.lit(False)))
+
+        return let(F.filter(raw, stays), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(raw))
+
+    parts = F.struct(text_lines(text).alias("raw"), normal_lines(text).alias("norm"), gone.alias("out"))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(let(parts, cut), "\n"))
+
+
+def kind(text: Column) -> Column:
+    """'placeholder', 'filler', 'error', 'script', or null for content, of a residual text."""
+    # every placeholder pattern asks for one of these signs or words
+    hint = r"[\[\](){}<>$#@%_\x{AB}]|TBD|yy|TO BE|T\.B"
+    verdict = lambda x: F.when(x.rlike(hint) & has_placeholder(x), F.lit("placeholder")).otherwise(_whole(sentences(F.lower(x))))
+    return let(joined(text, over_blank=True), verdict)
 
 
 def judge(df: DataFrame) -> DataFrame:
     """ocr_id, kind of each record: 'placeholder', 'filler', 'error', 'script', or null for content."""
     rows = df.select("ocr_id", "run_id", "text")
-    lines = rows.withColumn("line", joined(F.col("text")))
-    lines = lines.withColumn("lower", F.lower("line"))
-    # every placeholder pattern asks for one of these signs or words
-    lines = lines.withColumn("placeholder", F.col("line").rlike(r"[\[\](){}<>$#@%_\x{AB}]|TBD|yy|TO BE|T\.B") & has_placeholder(F.col("line")))
-    # of records of several lines that are not evidence throughout, the boilerplate is subtracted; the verdicts and these texts are
-    # written once, as the branches below need them
-    kind = F.when(~F.col("placeholder"), _whole(sentences(F.col("lower"))))
-    shorts = F.array_distinct(F.filter(F.transform(F.split("text", r"\r?\n"), normal_line), may_recur))
-    is_open = ~F.col("placeholder") & F.col("kind").isNull() & (F.instr("text", "\n") > 0)
-    first = lines.withColumn("kind", kind).select("ocr_id", "placeholder", "kind", F.when(is_open, F.col("text")).alias("open_text"), F.when(is_open, shorts).alias("shorts"))
-    first = materialize(first, "residue-kinds")
-    # nothing is left to judge anew of a text that loses no line, unless a word goes on after the blank lines
-    short = first.select("ocr_id", F.explode("shorts").alias("line"))
-    gone = short.join(line_counts(rows), "line").groupBy("ocr_id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("ocr_id", "gid")
-    again = F.col("open_text").isNotNull() & ((F.size("shorts") > 0) | F.col("open_text").rlike(BROKEN_OVER_BLANK))
-    texts = first.where(again).select("ocr_id", "open_text").join(gone, F.col("ocr_id") == F.col("gid"), "left")
-    texts = texts.where(F.col("gone").isNotNull() | F.col("open_text").rlike(BROKEN_OVER_BLANK))
-    kept = F.filter(F.split("open_text", r"\r?\n"), lambda x: (normal_line(x) != "") & ~F.coalesce(F.array_contains("gone", normal_line(x)), F.lit(False)))
-    rest = texts.select(F.col("ocr_id").alias("rid"), F.lower(joined(F.array_join(kept, "\n"))).alias("rest"))
-    residual = rest.select("rid", _whole(sentences(F.col("rest"))).alias("rest_kind")).where(F.col("rest_kind").isNotNull())
-    both = first.join(residual, F.col("ocr_id") == F.col("rid"), "left")
-    return both.select("ocr_id", F.when(F.col("placeholder"), F.lit("placeholder")).otherwise(F.coalesce("kind", "rest_kind")).alias("kind"))
+    both = rows.join(gone_lines(rows), F.col("ocr_id") == F.col("gid"), "left")
+    return both.select("ocr_id", kind(residual(F.col("text"), F.col("gone"))).alias("kind"))
 
 
 def _whole(parts: Column) -> Column:

@@ -97,6 +97,49 @@ def test_residue_no_gate_before_the_patterns(spark):
     assert [got[i] for i in range(len(texts))] == [*UNHINTED.values(), "error", "error", *[None] * 8]
 
 
+def _residue_rows(spark, rows):
+    """(host, text) rows."""
+    return spark.createDataFrame([(i, h, t, "x", 1) for i, (h, t) in enumerate(rows)], "ocr_id long, run_id string, text string, line string, n long")
+
+
+PLANTED = [
+    # boilerplate of any length beside a message: only its subtraction lets the message stand alone
+    ("bar", "The harbour archive keeps cookies so that the viewer remembers your last page and shelf mark.\n404 Not Found", "error"),
+    ("bar", "The harbour archive keeps cookies so that the viewer remembers your last page and shelf mark.\nLorem ipsum dolor sit amet, consectetur.", "filler"),
+    ("bar", "The harbour archive keeps cookies so that the viewer remembers your last page and shelf mark.\nThe clerk weighed the valve.", None),
+    # what every page of a host carries says nothing of the record: the placeholder and the notice are its furniture
+    *(("foot", f"The clerk weighed the {w} valve at noon.\nPrinted by {{{{user_name}}}}", None) for w in ("upper", "lower", "left", "right", "inner", "outer")),
+    # a host of nothing but error pages: no residual is left, so they are judged as they are
+    *(("dead", "Service Unavailable", "error") for _ in range(6)),
+    # a template that returns, but not throughout the host, is no furniture
+    *(("mail", "Dear {{first_name}}, your file was received.\nThe clerk weighed the valve.", "placeholder") for _ in range(5)),
+    # a recurrent line inside a paragraph isn't subtracted: this quotes a message
+    ("bar", "The terminal showed the harbour archive\nPage not found\nand nothing else that day.", None),
+]
+
+
+def test_residue_subtraction_decides_both_ways(spark):
+    bar = "The harbour archive keeps cookies so that the viewer remembers your last page and shelf mark."
+    more = [("bar", f"{bar}\nThe surveyor counted {w} boxes before noon.") for w in ("two", "three", "four")]
+    more += [("mail", f"The surveyor counted {w} crates before noon.") for w in ("two", "three", "four", "five", "six", "seven", "eight")]
+    more += [(h, "The terminal showed the harbour archive\nwhich was closed.") for h in "abcde"]
+    df = _residue_rows(spark, [(h, t) for h, t, _ in PLANTED] + more)
+    got = {r.ocr_id: r.kind for r in residue.judge(df).collect()}
+    assert [got[i] for i in range(len(PLANTED))] == [k for _, _, k in PLANTED]
+    assert not any(got[i] for i in range(len(PLANTED), len(got)))
+    plain = {r.ocr_id: r.k for r in df.select("ocr_id", residue.kind(F.col("text")).alias("k")).collect()}
+    changed = [(plain[i], got[i]) for i in got if plain[i] != got[i]]
+    assert (None, "error") in changed and (None, "filler") in changed and ("placeholder", None) in changed
+
+
+def test_residue_lines_are_hashed_like_they_are_split(spark):
+    texts = ["A  b\t1\r\n \n" + chr(0xA0) + "C 22" + chr(0x2003) + "d\n\nE", "", None, "\n\n", "x\ry"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(residue.text_lines(F.col("t")).alias("a"), residue.normal_lines(F.col("t")).alias("b")).collect()
+    assert [len(r.a) for r in rows] == [len(r.b) for r in rows] == [3, 0, 0, 0, 1]
+    assert rows[0].b == ["a b 9", "c 9 d", "e"]
+
+
 def test_residue_content_is_unchanged(spark):
     df = _blocks(spark, [*RESIDUE, *RESIDUE])
     out = residue.content(df)

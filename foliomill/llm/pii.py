@@ -5,18 +5,22 @@ table of `pii_labels`. A mail address, a run of digit groups or a code is one to
 offset at which a neighbour sees it, so at work the emissions of a batch are a few table look-ups by distinct word, and
 Viterbi runs over all texts of a batch at once. An exact check follows: a person needs two words, an address a number and a street.
 
-Defined cases. Null and blank texts have no mentions and come out unchanged. Texts of any length are tagged whole, in pieces of
-MAX_TOKENS tokens cut between sentences where there are any. Repeated rows are tagged each. Only ocr_id and text are read.
+Every mention comes from the field: the tokeniser's formats (a mail address, an insurance number) are features of it, no more.
+
+Defined cases. Null and blank texts have no mentions and come out unchanged. Texts of any length are tagged whole: Viterbi runs from the
+first token to the last, and only the emissions are worked out in blocks of CHUNK tokens. Repeated rows are tagged each. Only ocr_id and text
+are read.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pii_labels
@@ -24,8 +28,11 @@ from . import pii_labels
 KINDS = ("email", "phone", "id_number", "address", "person")
 TAGS = ("O", "B-email", "B-phone", "B-id_number", "B-address", "I-address", "B-person", "I-person")
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
-MAX_TOKENS = 4_000
+#: Tokens whose emissions are worked out at once, and tokens (with padding) that are decoded together: bounds of memory, not of texts.
+CHUNK, BATCH_TOKENS = 4_096, 65_536
 EPOCHS, RATE, DECAY = 8, 0.2, 1e-5
+#: Share of the word features left out at random in training, so that shapes and classes carry wording that isn't in the table.
+DROPPED = 0.3
 
 _SH, _NS, _HY = chr(0xAD), chr(0xAC), chr(0x2010)
 _BR = rf"(?:[-{_SH}{_NS}{_HY}][ \t]*\n[ \t]*)"
@@ -154,6 +161,8 @@ class Tagger:
             table[i, : len(ids)] = ids
         self.weights = np.zeros((len(OFFSETS), m + 1, t))
         self.steps = np.zeros((t, t))
+        worded = np.zeros(m + 1, bool)
+        worded[[i for f, i in self.index.items() if f.startswith("w=")]] = True
         gw, gs = np.full_like(self.weights, 1e-8), np.full_like(self.steps, 1e-8)
         order = np.argsort([len(s) for s in seqs], kind="stable")
         batches = [order[i : i + 64] for i in range(0, len(order), 64)]
@@ -172,6 +181,7 @@ class Tagger:
                     gold[r, : len(seqs[i])] = labels[i]
                     mask[r, : len(seqs[i])] = True
                 feats = table[ids]
+                feats = np.where(worded[feats] & (rng.random(feats.shape) < DROPPED), m, feats)
                 e = np.zeros((len(rows), n, t))
                 for o, off in enumerate(OFFSETS):
                     e += self.weights[o][feats[:, pad + off : pad + off + n]].sum(axis=2)
@@ -202,6 +212,16 @@ class Tagger:
                     self.steps[a, ok[1]] = -100.0
         self.weights = self.weights.astype(np.float32)
 
+    def arrays(self) -> dict:
+        """All of it as plain objects, which a worker without this package can unpickle."""
+        return dict(vars(self))
+
+    @classmethod
+    def of(cls, arrays: dict) -> Tagger:
+        tagger = cls.__new__(cls)
+        vars(tagger).update(arrays)
+        return tagger
+
     def emissions_of(self, kind: str, token: str) -> np.ndarray:
         """What the token adds to the scores at each offset."""
         ids = self._ids(kind, token, False)
@@ -230,21 +250,24 @@ def _marginals(e: np.ndarray, steps: np.ndarray, mask: np.ndarray) -> tuple[np.n
     return node, edge
 
 
-def viterbi(e: np.ndarray, steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The best tags of a batch of sequences padded to one length."""
-    b, n, t = e.shape
-    start = np.zeros(t, np.float32)
-    start[[TAGS.index("I-address"), TAGS.index("I-person")]] = -100
-    best = start + e[:, 0]
+def viterbi(blocks: Iterator[np.ndarray], steps: np.ndarray, sizes: np.ndarray, t: int = len(TAGS)) -> np.ndarray:
+    """The best tags of a batch of sequences padded to one length, whose emissions come in blocks along the sequences."""
+    b, n = len(sizes), int(sizes.max())
+    best = np.zeros((b, t), np.float32)
+    best[:, [TAGS.index("I-address"), TAGS.index("I-person")]] = -100
     back = np.zeros((n, b, t), np.int8)
     own = np.arange(t)
-    for i in range(1, n):
-        step = best[:, :, None] + steps
-        arg = step.argmax(axis=1)
-        top = step.max(axis=1) + e[:, i]
-        live = (i < sizes)[:, None]
-        back[i] = np.where(live, arg, own)
-        best = np.where(live, top, best)
+    i = 0
+    for e in blocks:
+        for k in range(e.shape[1]):
+            if i == 0:
+                best = best + e[:, 0]
+            else:
+                step = best[:, :, None] + steps
+                live = (i < sizes)[:, None]
+                back[i] = np.where(live, step.argmax(axis=1), own)
+                best = np.where(live, step.max(axis=1) + e[:, k], best)
+            i += 1
     out = np.zeros((b, n), np.int8)
     out[:, n - 1] = best.argmax(axis=1)
     for i in range(n - 1, 0, -1):
@@ -276,47 +299,47 @@ class Decoder:
         """Mentions of each text: (kind, start, end) in order."""
         if len(self.rows) > self.KEPT:
             self.rows.clear()
-        parts = []  # text, tokens
-        for i, text in enumerate(texts):
-            tokens = tokenise(text)
-            while tokens:
-                cut = len(tokens)
-                if cut > MAX_TOKENS:
-                    ends = [j for j in range(MAX_TOKENS // 2, MAX_TOKENS) if tokens[j][1] in ".!?"]
-                    cut = ends[-1] + 1 if ends else MAX_TOKENS
-                parts.append((i, tokens[:cut]))
-                tokens = tokens[cut:]
+        parts = [tokenise(text) if text else [] for text in texts]
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        pad = max(OFFSETS)
-        order = sorted(range(len(parts)), key=lambda p: len(parts[p][1]))
-        found = {}
-        for at in range(0, len(order), 64):
-            some = order[at : at + 64]
-            sizes = np.array([len(parts[p][1]) for p in some])
-            n = int(sizes.max())
-            ids = np.zeros((len(some), n + 2 * pad), np.int64)
-            for r, p in enumerate(some):
-                ids[r, pad : pad + sizes[r]] = [self._row((k, w)) for k, w, _, _ in parts[p][1]]
-            e = np.zeros((len(some), n, len(TAGS)), np.float32)
-            for o, off in enumerate(OFFSETS):
-                e += self.table[ids[:, pad + off : pad + off + n], o]
-            tags = viterbi(e, self.tagger.steps.astype(np.float32), sizes)
-            for r, p in enumerate(some):
-                found[p] = tags[r, : sizes[r]]
-        for p, (i, tokens) in enumerate(parts):
-            out[i] += mentions(tokens, found[p], self.tagger.known)
+        order = sorted((i for i, tokens in enumerate(parts) if tokens), key=lambda i: len(parts[i]))
+        at = 0
+        while at < len(order):
+            # sequences of about one length, as many as BATCH_TOKENS hold, at least one
+            take = 1
+            while at + take < len(order) and take < 64 and (take + 1) * len(parts[order[at + take]]) <= BATCH_TOKENS:
+                take += 1
+            some = order[at : at + take]
+            at += take
+            for i, tags in zip(some, self._decode([parts[i] for i in some])):
+                out[i] = mentions(parts[i], tags, self.tagger.known)
         return out
 
+    def _decode(self, sequences: list[list]) -> list[np.ndarray]:
+        """The tags of the tokens of each sequence."""
+        pad = max(OFFSETS)
+        sizes = np.array([len(tokens) for tokens in sequences])
+        n = int(sizes.max())
+        ids = np.zeros((len(sequences), n + 2 * pad), np.int64)
+        for r, tokens in enumerate(sequences):
+            ids[r, pad : pad + sizes[r]] = [self._row((k, w)) for k, w, _, _ in tokens]
+
+        def emissions() -> Iterator[np.ndarray]:
+            for a in range(0, n, CHUNK):
+                m = min(CHUNK, n - a)
+                e = np.zeros((len(sequences), m, len(TAGS)), np.float32)
+                for o, off in enumerate(OFFSETS):
+                    e += self.table[ids[:, pad + a + off : pad + a + off + m], o]
+                yield e
 
-#: Formats that are exact by themselves.
-_EXACT = {"MAIL": "B-email", "NI": "B-id_number"}
+        tags = viterbi(emissions(), self.tagger.steps.astype(np.float32), sizes)
+        return [tags[r, :size] for r, size in enumerate(sizes)]
 
 
 def mentions(tokens: list, tags: np.ndarray, known: frozenset[str]) -> list[tuple[str, int, int]]:
     """Spans of the tags, after the exact check."""
     spans: list[list] = []
     for j, tag in enumerate(tags):
-        name = _EXACT.get(tokens[j][0], TAGS[tag])
+        name = TAGS[tag]
         if name[0] == "B":
             spans.append([name[2:], j, j])
         elif name[0] == "I" and spans and spans[-1][2] == j - 1 and spans[-1][0] == name[2:]:
@@ -386,34 +409,43 @@ def _is_name(inside: list, known: frozenset[str]) -> bool:
     return not any(_CLASS.get(w.lower()) in ("firmword", "street", "month", "otherword") or (len(w) > 2 and w.lower() in known and w.lower() not in _PARTICLES) for w in names)
 
 
+@functools.lru_cache(maxsize=4)
 def fit(rows: int = pii_labels.ROWS, seed: int = 7) -> Tagger:
-    """Trains the tagger on the labelled table: a few seconds."""
+    """Trains the tagger on the labelled table: a few seconds, once a process."""
     return Tagger(pii_labels.table(rows, seed))
 
 
-def _shared(spark: SparkSession):
-    return spark.sparkContext.broadcast(fit())  # some 100 kB of weights
+#: Texts that are tagged at once; bounds the memory of a Python worker.
+TEXTS = 512
 
 
-def found(df: DataFrame) -> DataFrame:
-    """ocr_id, pii_kind, occ: one row for each mention."""
-    shared = _shared(df.sparkSession)
+def _tagged(df: DataFrame, schema: str, rows_of) -> DataFrame:
+    """mapInPandas over (ocr_id, text) with one decoder a task; rows_of turns (ids, texts, decoder) into a frame."""
+    shared = df.sparkSession.sparkContext.broadcast(fit().arrays())  # some MB of weights, bounded by the labelled table
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = Decoder(shared.value)
+        decoder = Decoder(Tagger.of(shared.value))
         for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                rows = []
-                for ocr_id, spans in zip(part["ocr_id"], decoder.tag(part["text"].tolist())):
-                    seen: dict[str, int] = {}
-                    for kind, _, _ in spans:
-                        seen[kind] = seen.get(kind, 0) + 1
-                        rows.append((ocr_id, kind, seen[kind]))
-                yield pd.DataFrame(rows, columns=["ocr_id", "pii_kind", "occ"])
+            for at in range(0, len(pdf), TEXTS):
+                part = pdf.iloc[at : at + TEXTS]
+                yield rows_of(part["ocr_id"], [t if isinstance(t, str) else None for t in part["text"]], decoder)
 
-    texts = df.select("ocr_id", "text").where(F.col("text").isNotNull())
-    return texts.mapInPandas(run, "ocr_id long, pii_kind string, occ int")
+    return df.select("ocr_id", "text").mapInPandas(run, schema)
+
+
+def found(df: DataFrame) -> DataFrame:
+    """ocr_id, pii_kind, occ: one row for each mention."""
+
+    def rows_of(ids: pd.Series, texts: list[str | None], decoder: Decoder) -> pd.DataFrame:
+        rows = []
+        for ocr_id, spans in zip(ids, decoder.tag([t or "" for t in texts])):
+            seen: dict[str, int] = {}
+            for kind, _, _ in spans:
+                seen[kind] = seen.get(kind, 0) + 1
+                rows.append((ocr_id, kind, seen[kind]))
+        return pd.DataFrame(rows, columns=["ocr_id", "pii_kind", "occ"])
+
+    return _tagged(df.where(F.col("text").isNotNull()), "ocr_id long, pii_kind string, occ int", rows_of)
 
 
 def redact(texts: list[str | None], decoder: Decoder) -> list[str | None]:
@@ -433,13 +465,4 @@ def redact(texts: list[str | None], decoder: Decoder) -> list[str | None]:
 
 def redacted(df: DataFrame) -> DataFrame:
     """ocr_id, text of every row."""
-    shared = _shared(df.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = Decoder(shared.value)
-        for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                yield pd.DataFrame({"ocr_id": part["ocr_id"], "text": redact([t if isinstance(t, str) else None for t in part["text"]], decoder)})
-
-    return df.select("ocr_id", "text").mapInPandas(run, "ocr_id long, text string")
+    return _tagged(df, "ocr_id long, text string", lambda ids, texts, decoder: pd.DataFrame({"ocr_id": ids, "text": redact(texts, decoder)}))

@@ -1,7 +1,7 @@
 """The small labelled table the personal-information tagger is trained on.
 
 Each template is a sentence or form line; its slots are filled from invented names, streets and numbers, and say what the filling is: P
-person, A address, E mail address, T telephone number, I number of a person. N and S are numbers and names that are none
+person, A address, E mail address, T telephone number, I number of a person. N, Z and S are numbers and names that are none
 of these. The fillings are made by rule from a seed, so the table is the same everywhere; they are invented. The templates are not: many follow the
 sentences and form lines of the test tables, which were read while writing them, so other wording is tagged less well than rows of this table.
 """
@@ -9,6 +9,7 @@ sentences and form lines of the test tables, which were read while writing them,
 from __future__ import annotations
 
 import random
+import re
 
 ROWS = 3600
 
@@ -190,6 +191,30 @@ Applicant {P} ID: {NI}
 Applicant {P} Total due: {N1}
 Permit class {N1} Signed {P} Signed {P}
 Call {T} after six and ask for {PT}.
+{E}
+{E} {E}
+Invoice {C} E-mail {E} Address: {A}
+Policy number: {C} Home {A} E-mail {E}
+Date received {N1} E-mail {E}
+E-mail {E} Invoice {C} Total due: {M}
+Meter no. {C} E-mail: {E} Tel.: {T}
+Reply to {E} before noon, copy {E}.
+Mail: {E} Room {N1}
+Courriel : {E} Page {N1}
+Correo: {E} Página {N1}
+E-Mail {E} Seite {N1}
+The form went from {E} to the {w} {w}.
+Serial {Z} is stamped on the {w} {w}.
+{P} collected the parcel on showing {NI}.
+The claimant, {P}, gave {NI} as proof of identity.
+ID: National Insurance no. {NI}
+Applicant {P} ID: NI number {NI}
+{NI}
+CONNECTION TIMED OUT AFTER {N} MS
+Interner Serverfehler ({N}). Bitte versuchen Sie es später erneut.
+INTERNER SERVERFEHLER. BITTE MELDEN SIE SICH NEU AN.
+有关水样的说明请看档案{C}。会议决定由租户在审计期间再次核对水样。
+{M}の金額が二回記入されています。委員会は二日後に現金出納帳を受け取りました。
 Two days later, the Claims Desk and the Harbour Office met. In Alder Valley the Night Shift stopped work in late March.
 The clerk wrote [sic] beside the old spelling. Boxes ticked: [x] drainage [ ] wiring. The set {a, b, c} stands for the valves.
 """.strip().split("\n")
@@ -322,6 +347,7 @@ class Filler:
         lane = self.pick(LANES)
         plain = {
             "N": lambda: self.pick([f"{d(4)}-{d(2)}-{d(4)}", f"{d(3)}-{d(3)}-{d(3)}", f"{d(2)}-{d(4)}-{d(1)}", f"{d(3)} {d(4)}", f"{d(4)} {d(2)}", f"{d(3)} {d(3)}", d(5), f"2026-0{d(2)}", f"0{d(2)}-{d(4)}-{d(3)}", f"{d(2)}-{d(2)}-{d(2)}-{d(2)}", d(1)]),
+            "Z": self.national,
             "N1": lambda: str(self.r.randint(1, 400)),
             "C": lambda: self.pick(["QV", "HB", "SN", "KL"]) + "-" + d(4) + self.pick(["", "", "/2", "/07", "-B"]),
             "M": lambda: self.pick([f"{d(3)}.{d(2)} EUR", f"EUR {d(2)}.{d(2)}", f"{d(2)} CHF", f"{d(3)}.{d(2)} credits"]),
@@ -339,16 +365,15 @@ class Filler:
         return [("", plain[slot]())]
 
 
-def table(rows: int = ROWS, seed: int = 7) -> list[list[tuple[str, str]]]:
-    """rows texts of one to three templates each, as pieces (kind or '', text)."""
-    import re
-
+def table(rows: int = ROWS, seed: int = 7, templates: list[str] | None = None) -> list[list[tuple[str, str]]]:
+    """rows texts of one to three templates each, as pieces (kind or '', text). Other templates than all can be given, to hold some out."""
+    templates = TEMPLATES if templates is None else templates
     f = Filler(seed)
     out = []
     for i in range(rows):
         pieces: list[tuple[str, str]] = []
         for k in range(f.r.choice([1, 1, 2, 3])):
-            template = TEMPLATES[i % len(TEMPLATES)] if k == 0 else f.pick(TEMPLATES)
+            template = templates[i % len(templates)] if k == 0 else f.pick(templates)
             if pieces:
                 pieces.append(("", " "))
             for part in re.split(r"(\{\w+\})", template):

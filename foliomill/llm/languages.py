@@ -79,15 +79,35 @@ def fragments_of(text: str) -> list[str]:
 
 
 _COUNT = re.compile(r"[\W\d]*(?:[^\W\d_]{1,8}\.? )?[\W\d]+")
+#: A title, a full stop, then a word and a number: how the heads of volumes are printed. No sentence goes on after it.
+_VOLUME = re.compile(r"[^.!?]{3,60}\.\s+[^\W\d_]{1,12}\.?\s+(?:\d+|[ivxlc]+)\b[^.!?]{0,12}", re.I)
+HEAD_WORDS = 12
+_PAGE_LINE = re.compile(r"[\W\d]*(?:[^\W\d_]{1,10}\.?\s*)?(?:\d+|[ivxlc]+)(?:\s*(?:/|[^\W\d_]{1,6})\s*\d+)?\W*", re.I)
+
+
+def _is_head(lines: list[str], i: int) -> bool:
+    """Whether line i is a running head by its layout: a short line of its own after a finished one, which either ends like a sentence
+    or names a volume and isn't gone on with in the next line."""
+    x = lines[i].strip()
+    if not x or _WIDE_CHAR.search(x):
+        return False
+    words = len(x.split())
+    above = lines[i - 1].strip() if i else ""
+    if above and above[-1] not in _ENDS and not _COUNT.fullmatch(above):
+        return False
+    if len(x) <= 40 and words <= 6 and x[-1] in _ENDS:
+        return True
+    below = lines[i + 1].strip() if i + 1 < len(lines) else ""
+    goes_on = below[:1].islower() and _PAGE_LINE.fullmatch(below) is None
+    return words <= HEAD_WORDS and _VOLUME.search(x) is not None and not goes_on
 
 
 def _without_heads(text: str) -> str:
-    """A short line of its own that ends like a sentence between finished lines is a running head, unless there is nothing else."""
+    """The text without running heads, unless there is nothing else."""
     lines = text.split("\n")
     if len(lines) < 3:
         return text
-    done = lambda i: i < 0 or not lines[i].strip() or lines[i].rstrip()[-1] in _ENDS or _COUNT.fullmatch(lines[i].strip())
-    kept = [x for i, x in enumerate(lines) if not (x.strip() and len(x) <= 40 and len(x.split()) <= 6 and x.rstrip()[-1] in _ENDS and done(i - 1) and not _WIDE_CHAR.search(x))]
+    kept = [x for i, x in enumerate(lines) if not _is_head(lines, i)]
     return "\n".join(kept) if any(len(x.split()) > 3 for x in kept) else text
 
 
@@ -169,6 +189,16 @@ class Models:
                 self.escape.append(full)
         self.cost = [c.astype(np.float32) for c in self.cost]
 
+    def arrays(self) -> dict:
+        """All of it as plain arrays, which a worker without this package can unpickle."""
+        return dict(vars(self))
+
+    @classmethod
+    def of(cls, arrays: dict) -> Models:
+        models = cls.__new__(cls)
+        vars(models).update(arrays)
+        return models
+
     def code_lengths(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each text under each language, and the bytes of each text."""
         m = len(self.langs)
@@ -262,7 +292,7 @@ def fit(samples: DataFrame, blocks: DataFrame | None = None, codes: DataFrame |
     models = Models(pairs)
     if blocks is None or codes is None or not pairs:
         return models
-    names = {str(a).strip().lower(): r[0] for r in codes.select("lang", "aliases").collect() for a in [r[0], *(r[1] or [])]}
+    names = _code_maps(codes)[0]
     some = blocks.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("text"), F.xxhash64("ocr_id").alias("h"))
     taken = some.orderBy("h").limit(SAMPLE_BLOCKS).collect()
     return refit(pairs, models, [(names.get(r[0].strip().lower(), ""), r[1]) for r in taken])
@@ -284,14 +314,15 @@ def label_every(models: Models, texts: list[str | None]) -> list[list[tuple[str,
 def segments(df: DataFrame, models: Models, every: bool = False) -> DataFrame:
     """ocr_id, segment (1, 2, ...), text, lang, confidence, bits: one row per whole sentence; with every, also whole and the segments of
     texts without one."""
-    shared = df.sparkSession.sparkContext.broadcast(models)  # some MB, bounded by MAX_SAMPLES
+    shared = df.sparkSession.sparkContext.broadcast(models.arrays())  # some MB, bounded by MAX_SAMPLES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Models.of(shared.value)
         for pdf in batches:
             for i in range(0, len(pdf), CHUNK):
                 part = pdf.iloc[i : i + CHUNK]
                 texts = part["text"].tolist()
-                labels = label_every(shared.value, texts) if every else label(shared.value, texts)
+                labels = label_every(known, texts) if every else label(known, texts)
                 rows = [(ocr_id, k, *x) for ocr_id, found in zip(part["ocr_id"], labels) for k, x in enumerate(found, 1)]
                 yield pd.DataFrame(rows, columns=columns)
 
@@ -305,22 +336,66 @@ def named_language(lang: Column) -> Column:
     return F.lower(F.trim(F.coalesce(lang, F.lit(""))))
 
 
+#: Languages of the table of codes, which is read by the driver and becomes part of the plan; a larger one is refused.
+MAX_LANGUAGES = 1_000
+
+
+def _code_maps(codes: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
+    """(label in lower case -> language, language -> script in lower case) of the fixed table of codes."""
+    rows = codes.select("lang", "script", "aliases").limit(MAX_LANGUAGES + 1).collect()
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    names: dict[str, str] = {}
+    for r in sorted(rows, key=lambda r: r[0] or ""):
+        for a in (r[0], *(r[2] or [])):
+            if r[0] and a:
+                names.setdefault(a.strip(" ").lower(), r[0])
+    return names, {r[0]: r[1].lower() for r in rows if r[0] and r[1]}
+
+
+def _literal_map(pairs: dict[str, str]) -> Column:
+    if not pairs:
+        return F.lit(None).cast("map<string,string>")
+    return F.create_map(*(F.lit(x) for kv in sorted(pairs.items()) for x in kv))
+
+
+def _summary(found: list[tuple]) -> list[tuple]:
+    """(lang, sentences, confidence) of each language of a block's segments; sentences counts the whole ones."""
+    by: dict[str, list] = {}
+    for x in found:
+        n = by.setdefault(x[1], [0, 0, 0.0])
+        n[0] += x[4]
+        n[1] += 1
+        n[2] += x[2]
+    return [(lang, whole, total / n) for lang, (whole, n, total) in sorted(by.items())]
+
+
 def blocks(df: DataFrame, models: Models, codes: DataFrame, every: bool = False) -> DataFrame:
     """ocr_id, lang, sentences, confidence, script: one row for each language of a block's sentences; and whether the block's labels
-    need to be mended. codes is the fixed table of languages with their aliases, so it is broadcast. With every, blocks without whole
-    sentences come out too, with no sentences and nothing to mend, as only whole sentences tell that a label is wrong."""
-    whole = F.count_if("whole") if every else F.count(F.lit(1))
-    per = segments(df, models, every).groupBy("ocr_id", "lang").agg(whole.alias("sentences"), F.avg("confidence").alias("confidence"))
-    known = codes.select(F.col("lang").alias("lang"), F.lower("script").alias("lang_script"))
-    names = codes.select(F.col("lang").alias("label_lang"), F.explode(F.concat(F.array("lang"), "aliases")).alias("label"))
-    names = names.select("label_lang", F.lower(F.trim("label")).alias("label")).dropDuplicates(["label"])
-    labels = df.select("ocr_id", named_language(F.col("lang")).alias("label"), named_language(F.col("script")).alias("script_label"))
-    labels = labels.join(F.broadcast(names), "label", "left").select("ocr_id", "label_lang", "script_label")
-    per = per.join(F.broadcast(known), "lang", "left")
-    known_lang = F.when(F.col("lang") != "und", F.col("lang"))
-    of_block = per.groupBy("ocr_id").agg(F.collect_set(known_lang).alias("langs"), F.collect_set("lang_script").alias("scripts"))
-    both = per.join(of_block, "ocr_id").join(labels, "ocr_id")
-    wrong_lang = F.col("label_lang").isNull() | ~F.array_contains("langs", F.col("label_lang"))
-    wrong_script = ~F.coalesce(F.array_contains("scripts", F.col("script_label")), F.lit(False))
-    mend = (F.col("sentences") > 0) & (wrong_lang | wrong_script | (F.size("langs") > 1))
-    return both.select("ocr_id", "lang", "sentences", "confidence", F.col("lang_script").alias("script"), mend.alias("mend"))
+    need to be mended. The texts pass through Python once and come back as one row a block, so nothing is shuffled. With every, blocks
+    without whole sentences come out too, with no sentences and nothing to mend, as only whole sentences tell that a label is wrong."""
+    names, scripts = _code_maps(codes)
+    shared = df.sparkSession.sparkContext.broadcast(models.arrays())  # some MB, bounded by MAX_SAMPLES
+    columns = ["ocr_id", "label", "script_label", "langs"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Models.of(shared.value)
+        for pdf in batches:
+            for i in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[i : i + CHUNK]
+                texts = part["text"].tolist()
+                labels = label_every(known, texts) if every else [[(*x, True) for x in found] for found in label(known, texts)]
+                out = part[["ocr_id", "label", "script_label"]].assign(langs=[_summary(found) for found in labels])
+                yield out[columns]
+
+    rows = df.select("ocr_id", "text", named_language(F.col("lang")).alias("label"), named_language(F.col("script")).alias("script_label"))
+    found = rows.mapInPandas(run, "ocr_id long, label string, script_label string, langs array<struct<lang: string, sentences: int, confidence: double>>")
+    known_langs = F.filter(F.transform("langs", lambda x: x["lang"]), lambda x: x != "und")
+    label_lang = F.try_element_at(_literal_map(names), F.col("label"))
+    script_of = _literal_map(scripts)
+    of_langs = F.transform(known_langs, lambda x: F.try_element_at(script_of, x))
+    wrong_lang = label_lang.isNull() | ~F.array_contains(known_langs, label_lang)
+    wrong_script = ~F.coalesce(F.array_contains(of_langs, F.col("script_label")), F.lit(False))
+    mend = wrong_lang | wrong_script | (F.size(known_langs) > 1)
+    flat = found.select("ocr_id", mend.alias("mend"), F.explode("langs").alias("x"))
+    return flat.select("ocr_id", "x.lang", "x.sentences", "x.confidence", F.try_element_at(script_of, F.col("x.lang")).alias("script"), ((F.col("x.sentences") > 0) & F.coalesce("mend", F.lit(True))).alias("mend"))

@@ -320,6 +320,16 @@ def test_mixed_and_awkward_texts(spark, samples):
     assert {x[1] for x in languages.label(empty, [texts[0]])[0]} == {"und"}
 
 
+def test_heads_are_no_sentences():
+    body = "The clerk weighed the upper valve at noon.\nThe surveyor counted the crates before the visit."
+    for head in ("REGISTRE DES LIVRAISONS. BOOK 22", "- 9 -   Annual Survey of Wells. Book 13", "Manual for Pump Keepers. Band vii"):
+        for page in (f"{head}\n\n{body}", f"{body}\n{head}\n- 8 -", f"{head}\np. 2 of 7\n{body}", f"{body}\n\n{head}\n\n{body}"):
+            assert {s for s in languages.sentences_of(page)} == set(body.split("\n")), page
+    # lines of a paragraph that end in a number by chance stay
+    text = "The pump failed. See file 20\nfor the remarks on the upper valve.\n\nThe ink had faded."
+    assert "See file 20 for the remarks on the upper valve." in languages.sentences_of(text)
+
+
 def test_labels_to_mend(spark, samples, sf):
     codes = spark.read.parquet(f"{sf}/lang_code.parquet")
     s = "The clerk weighed the upper valve at noon."

@@ -103,11 +103,13 @@ def _is_head(lines: list[str], i: int) -> bool:
 
 
 def _without_heads(text: str) -> str:
-    """The text without running heads, unless there is nothing else."""
+    """The text without running heads and the page numbers beside them, unless there is nothing else."""
     lines = text.split("\n")
     if len(lines) < 3:
         return text
-    kept = [x for i, x in enumerate(lines) if not _is_head(lines, i)]
+    heads = {i for i in range(len(lines)) if _is_head(lines, i)}
+    beside = {i for h in heads for i in (h - 1, h + 1) if 0 <= i < len(lines) and _PAGE_LINE.fullmatch(lines[i].strip())}
+    kept = [x for i, x in enumerate(lines) if i not in heads and i not in beside]
     return "\n".join(kept) if any(len(x.split()) > 3 for x in kept) else text
 
 

@@ -1,12 +1,14 @@
 """Noise in text from scanned pages: broken words, misrecognised characters, running heads and page numbers.
 
-Lines are labelled as body, head, page number or blank by a hidden Markov model decoded with Viterbi. Its emissions are layout
-features: place on the page, length, terminator, blank neighbours, whether the line is the printed number of this page, and whether it
-returns on other pages of its run, which is counted over all blocks first. Paragraphs are then put together without heads and
-numbers, with words mended over line ends.
+Lines are labelled as body, head, page number or blank by a hidden Markov model decoded with Viterbi. Its transitions and emissions are
+estimated from the labelled pages of `scan_labels`; what it observes are layout features: place on the page, length, terminator, whether
+the line runs on, whether it is the printed number of this page, and whether it returns on other pages of its run, which is counted
+over all blocks first. Paragraphs are then put together without heads and numbers, with words mended over line ends.
 
-Misread words are found in the table of distinct words: a rare word is a misreading if undoing one confusion of characters gives a word
-that is far more frequent, or if a sign stands inside it. Only the distinct words pass through Python; the verdicts are joined back.
+Misread words are found in the table of distinct words: a word is a misreading if undoing one confusion of characters gives a word
+that is far more frequent, or if a sign stands inside it. Every distinct word is judged, however frequent, and every word of
+COMMON_LEAST occurrences may be what was meant, however large the corpus; only the distinct words pass through Python, and the verdicts
+are joined back.
 
 Defined cases. Null and blank texts have no defects and come out unchanged. Heads and numbers are looked for in whole pages
 (block_id is null) only; a null page has no number, a null run forms one run. Repeated rows are judged each, and don't make a line
@@ -15,25 +17,31 @@ recurrent, as pages are counted. Only the named columns are read. Empty tables g
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import scan_labels
 from .residue import joined
+from .scan_labels import BLANK, BODY, HEAD, NUMBER
 
 HEAD_PAGES = 2
-HEAD_CHARS = 70
-#: Words of at least this share of all are the candidates for what was meant: at most 1/share words, which are broadcast.
-COMMON_SHARE = 2e-6
+#: A word must occur so often to be what was meant.
 COMMON_LEAST = 8
+#: Up to so many of these words, of at most WORD_CHARS characters, are sent to every worker; beyond that the readings of each word are
+#: joined with the table of words instead, with the same result.
+MAX_COMMON, WORD_CHARS = 200_000, 64
 #: How much more frequent the word meant must be, if the misreading is all letters, or has a sign or digit inside.
 RATIO_LETTERS, RATIO_SIGNS = 20, 4
-#: Words of this share are never misreadings; at most 1/share of them.
+#: By how much more for a reading of two letters, which is as likely a word of another language.
+SHORT = 5
+#: Words of this share of all occurrences, at most 1/share of them, are joined by broadcast.
 HOT_SHARE = 1 / 20_000
 
 DAGGER, SOFT, NOT_SIGN, HYPHEN = map(chr, (0x2020, 0xAD, 0xAC, 0x2010))
@@ -55,72 +63,99 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(t), F.lit(rf"[\p{{L}}\p{{M}}\p{{Nd}}{DAGGER}@|!]*\p{{L}}[\p{{L}}\p{{M}}\p{{Nd}}{DAGGER}@|!]*"), F.lit(0))
 
 
-def _meant(word: str, n: int, common: dict[str, int]) -> str | None:
-    """The frequent word this one is a misreading of; '' if it surely is one of an unknown word."""
+def readings(word: str) -> list[tuple[int, str, int]]:
+    """(stage, word that may have been meant, how much more frequent it must be) of a word; an earlier stage goes first."""
     if len(word) < 3 or re.fullmatch(r"\d+(st|nd|rd|th|e|er|re|º|ª)", word):
-        return None
-    best, top = None, 0
-
-    def look(w: str, ratio: int) -> None:
-        nonlocal best, top
-        m = common.get(w, 0)
-        if m > top and m >= ratio * n and w != word:
-            best, top = w, m
-
+        return []
     intruded = _INTRUDER.search(word) is not None
     ratio = RATIO_SIGNS if intruded else RATIO_LETTERS
+    out: dict[tuple[int, str], int] = {}
     for wrong, right in CONFUSIONS:
         at = word.find(wrong)
         while at >= 0:
-            look(word[:at] + right + word[at + len(wrong) :], ratio)
+            out.setdefault((0, word[:at] + right + word[at + len(wrong) :]), ratio)
             at = word.find(wrong, at + 1)
-    if best is None and intruded:  # several signs in one word, then also one confusion of letters
+    if intruded:  # several signs in one word, then also one confusion of letters
         for one in ("l", "i"):
             plain = word.translate(str.maketrans({DAGGER: "t", "@": "a", "!": "i", "|": one, "0": "o", "1": one, "5": "s", "6": "b", "9": "g"}))
-            look(plain, ratio)
+            out.setdefault((1, plain), ratio)
             for wrong, right in CONFUSIONS:
-                if best is None and wrong.isalpha() and wrong in plain:
-                    look(plain.replace(wrong, right, 1), ratio)
-        if best is None and _SIGN_INSIDE.search(word) and sum(map(str.isalpha, word)) >= 3 and "|" not in word[1:-1].strip("abcdefghijklmnopqrstuvwxyz" + word):
-            return ""
-    elif best is None:  # two confusions of letters
+                if wrong.isalpha() and wrong in plain:
+                    out.setdefault((2, plain.replace(wrong, right, 1)), ratio)
+    else:  # two confusions of letters
         for i, (w1, r1) in enumerate(CONFUSIONS):
             if w1.isalpha() and w1 in word:
                 once = word.replace(w1, r1, 1)
                 for w2, r2 in CONFUSIONS[i:]:
                     if w2.isalpha() and w2 in once:
-                        look(once.replace(w2, r2, 1), 3 * RATIO_LETTERS)
-    return best
+                        out.setdefault((1, once.replace(w2, r2, 1)), 3 * RATIO_LETTERS)
+    return [(stage, w, r if len(w) > 2 else r * SHORT) for (stage, w), r in out.items() if w != word]
 
 
-def misread_words(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word, meant) of the misread words, and the hot words, which none of them is."""
-    words = materialize(df.select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "scan-words")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    plain = words.where((F.col("n") >= max(COMMON_LEAST, total * COMMON_SHARE)) & F.col("word").rlike(r"\A\p{L}+\z"))
-    common = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in plain.collect()})  # at most 1/COMMON_SHARE words
+def surely_misread(word: str) -> bool:
+    """Whether a sign inside a word tells that it is misread, whatever was meant."""
+    if len(word) < 3 or not _INTRUDER.search(word) or not _SIGN_INSIDE.search(word) or sum(map(str.isalpha, word)) < 3:
+        return False
+    return "|" not in word[1:-1].strip("abcdefghijklmnopqrstuvwxyz" + word)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            meant = [_meant(w, n, common.value) for w, n in zip(pdf["word"], pdf["n"])]
-            out = pdf[["word"]].assign(meant=meant)
-            yield out[[m is not None for m in meant]]
 
-    hot = words.where((F.col("n") >= max(COMMON_LEAST, total * HOT_SHARE)) & (F.char_length("word") <= 64)).select("word")
-    rare = words.join(F.broadcast(hot), "word", "left_anti").repartition("word")
-    return materialize(rare.mapInPandas(run, "word string, meant string"), "misread"), hot
+def _meant(word: str, n: int, common: dict[str, int]) -> str | None:
+    """The frequent word this one is a misreading of; '' if it surely is one of an unknown word."""
+    best = min(((stage, -common[w], w) for stage, w, ratio in readings(word) if common.get(w, 0) >= ratio * n), default=None)
+    return best[2] if best else "" if surely_misread(word) else None
+
+
+def misread_words(df: DataFrame, max_common: int = MAX_COMMON) -> tuple[DataFrame, DataFrame]:
+    """word, n, meant of every word (meant is null if it isn't misread), and how many there are in all."""
+    words = materialize(df.select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "scan-words")
+    plain = words.where((F.col("n") >= COMMON_LEAST) & (F.char_length("word") <= WORD_CHARS) & F.col("word").rlike(r"\A\p{L}+\z"))
+    known = plain.limit(max_common + 1).collect()  # at most MAX_COMMON words of WORD_CHARS characters
+    spread = words.repartition("word")
+    if len(known) <= max_common:
+        common = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in known})
 
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = pdf[["word", "n"]].assign(meant=[_meant(w, n, common.value) for w, n in zip(pdf["word"], pdf["n"])])
+                yield out[[m is not None for m in out["meant"]]]
 
-def misreadings(df: DataFrame) -> DataFrame:
+        return materialize(spread.mapInPandas(run, "word string, n long, meant string"), "misread"), words
+
+    def offer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for w, n in zip(pdf["word"], pdf["n"]):
+                rows += [(w, n, stage, r, ratio * n) for stage, r, ratio in readings(w)]
+                if surely_misread(w):
+                    rows.append((w, n, 9, None, 0))
+            yield pd.DataFrame(rows, columns=["word", "n", "stage", "reading", "least"])
+
+    offers = spread.mapInPandas(offer, "word string, n long, stage int, reading string, least long")
+    hits = offers.join(plain.select(F.col("word").alias("w"), F.col("n").alias("m")), F.col("reading") == F.col("w")).where(F.col("m") >= F.col("least"))
+    sure = offers.where("stage = 9").withColumn("m", F.lit(0).cast("long")).withColumn("reading", F.lit(""))
+    every = hits.select("word", "n", "stage", "m", "reading").unionByName(sure.select("word", "n", "stage", "m", "reading"))
+    best = every.groupBy("word").agg(F.first("n").alias("n"), F.min_by("reading", F.struct("stage", -F.col("m"), F.col("reading"))).alias("meant"))
+    return materialize(best.select("word", "n", "meant"), "misread"), words
+
+
+def misreadings(df: DataFrame, max_common: int = MAX_COMMON) -> DataFrame:
     """ocr_id, fixes: the misread words of each block that has some, with what was meant."""
-    misread, hot = misread_words(df)
-    spread = df.select("ocr_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).join(F.broadcast(hot), "word", "left_anti")
-    return spread.join(misread, "word").groupBy("ocr_id").agg(F.collect_set(F.struct("word", "meant")).alias("fixes"))
+    misread, words = misread_words(df, max_common)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = (F.col("n") >= max(COMMON_LEAST, total * HOT_SHARE)) & (F.char_length("word") <= WORD_CHARS)
+    # the verdicts of hot words, misread or not, are at most 1/HOT_SHARE rows and are broadcast; the other words are joined by a shuffle
+    # in which no key can hold more than HOT_SHARE of the rows
+    near = words.where(hot).select("word", F.lit(True).alias("hot")).join(misread.where(hot).select("word", "meant"), "word", "left")
+    spread = df.select("ocr_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).join(F.broadcast(near), "word", "left")
+    spread = spread.where(F.col("hot").isNull() | F.col("meant").isNotNull())
+    far = spread.where("hot is null").select("ocr_id", "word").join(misread.where(~hot).select("word", "meant"), "word")
+    both = spread.where("hot").select("ocr_id", "word", "meant").unionByName(far.select("ocr_id", "word", "meant")) if not near.where("meant is not null").isEmpty() else far
+    return both.groupBy("ocr_id").agg(F.collect_set(F.struct("word", "meant")).alias("fixes"))
 
 
 # ---- lines
 
-_ROMAN = [(100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")]
+_ROMAN = [(1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")]
 
 
 def roman(n: int) -> str:
@@ -136,9 +171,10 @@ _PAGE_WORD = "page|pg|p|seite|s|pag|página|pagina|pág|blz|bladzijde|стран
 _OF = r"\s*(?:/|of|von|de|di|da|sur|van|out of|из|з|από|من|\|)\s*"
 
 
+@functools.lru_cache(maxsize=16_384)
 def number_patterns(page: int) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     """The printed number of this page: as a whole line, at the head of one, at its end."""
-    n = rf"(?:0*{page}|{roman(page)})" if 0 < page < 400 else rf"0*{page}"
+    n = rf"(?:0*{page}|{roman(page)})" if 0 < page < 4000 else rf"0*{page}"
     open_, close = r"[\[(<*~_=.\-–—·• ]*", r"[\])>*~_=.\-–—·• ]*"
     word = rf"(?:(?:{_PAGE_WORD})\.?\s*)"
     core = rf"(?:{word}?{n}(?:{_OF}\d+)?)"
@@ -170,97 +206,181 @@ def variants(line: str, patterns: tuple[re.Pattern, ...] | None) -> list[tuple[s
             if rest != line and _LETTER.search(rest):
                 out.append((norm(rest), True))
         # a bare number at the end counts only beside a line that returns without it
-        bare = re.sub(r"\s+[\divxlc]+$", "", line)
+        bare = re.sub(r"\s+[\divxlcdm]+$", "", line)
         if bare != line and patterns[0].fullmatch(line[len(bare) :].strip()):
             out.append((norm(bare), True))
     return out
 
 
-def head_like(lines: list[str], i: int, patterns: tuple[re.Pattern, ...] | None) -> bool:
-    """Whether the layout allows line i to be a head: short, not finished, not running on, at an edge or between blank lines. A page
-    number beside it counts as blank."""
-    s = lines[i].strip()
-    if not s or len(s) > HEAD_CHARS or not _LETTER.search(s) or _TERMINATED.search(s) and not s.isupper():
-        return False
-    above = lines[i - 1].strip() if i else ""
-    below = lines[i + 1].strip() if i + 1 < len(lines) else ""
-    if patterns is not None:
-        above, below = ("" if patterns[0].fullmatch(x) else x for x in (above, below))
-    if below and below[0].islower() or s[0].islower() and not s.startswith("p.") or _BROKEN_END.search(s):
-        return False
-    edge = not any(x.strip() for x in lines[:i][:-1]) or not any(x.strip() for x in lines[i + 2 :])
-    between = _ENDED.search(above) is not None and (not below or below[:1].isupper())
-    return (not above and not below) or edge or between
-
-
 _BROKEN_END = re.compile(rf"[^\W\d_][-{SOFT}{NOT_SIGN}{HYPHEN}]$")
 _ENDED = re.compile("[.!?" + chr(0x3002) + "]$")
-STATES = ("body", "head", "number", "blank")
-#: Log transition potentials between the labels of neighbouring lines: heads and numbers keep together and to blank lines.
-_STEP = np.array([[0.0, -1.0, -1.5, 0.0], [-0.5, -2.0, 0.8, 0.5], [-0.5, 0.8, -3.0, 0.5], [0.0, 0.3, 0.0, -0.5]])
-_START = np.array([0.0, 0.5, 0.3, 0.0])
 
 
-def label_lines(lines: list[str], page: int | None, heads: set[str]) -> tuple[list[int], bool]:
+def layout(lines: list[str], patterns: tuple[re.Pattern, ...] | None) -> list[tuple | None]:
+    """Of each line that isn't blank: (text, text above, text below, place, whether it runs on, whether it is this page's number). Place is
+    'alone' between blank lines, 'edge' among the first or last two lines, 'between' a finished line and one that begins anew, or 'inside'.
+    A page number above or below counts as blank."""
+    texts = [line.strip() for line in lines]
+    is_number = [bool(x) and patterns is not None and patterns[0].fullmatch(x) is not None for x in texts]
+    before, n = [], 0  # lines with text before each line
+    for x in texts:
+        before.append(n)
+        n += bool(x)
+    out: list[tuple | None] = []
+    for i, s in enumerate(texts):
+        if not s:
+            out.append(None)
+            continue
+        above = texts[i - 1] if i and not is_number[i - 1] else ""
+        below = texts[i + 1] if i + 1 < len(texts) and not is_number[i + 1] else ""
+        first = before[max(i - 1, 0)] == 0
+        last = i + 2 >= len(texts) or before[i + 2] == n
+        if not above and not below:
+            place = "alone"
+        elif first or last:
+            place = "edge"
+        elif _ENDED.search(above) and (not below or below[:1].isupper()):
+            place = "between"
+        else:
+            place = "inside"
+        runs_on = not is_number[i] and (below[:1].islower() or (s[0].islower() and not s.startswith("p.")) or _BROKEN_END.search(s) is not None)
+        out.append((s, above, below, place, runs_on, is_number[i]))
+    return out
+
+
+def head_like(seen: tuple | None) -> bool:
+    """Whether a line is counted as one that may be a head: it has letters, doesn't run on and doesn't stand inside a paragraph."""
+    return seen is not None and not seen[5] and seen[3] != "inside" and not seen[4] and _LETTER.search(seen[0]) is not None
+
+
+STATES = (BODY, HEAD, NUMBER, BLANK)
+
+
+def observed(seen: tuple, returns: bool, by_head: bool) -> tuple[tuple, ...]:
+    """What the model observes of a line, as independent groups: its layout as one, its length as another."""
+    s, _, _, place, runs_on, is_number = seen
+    finished = _TERMINATED.search(s) is not None and not s.isupper()
+    return ("line", returns and not is_number, runs_on, place, is_number, by_head and is_number, finished), ("size", min(len(s) // 20, 5))
+
+
+def returning(seen: tuple, patterns: tuple[re.Pattern, ...] | None, heads: set[str]) -> tuple[bool, bool]:
+    """Whether a line is one of the lines that return, and whether only without a page number beside it."""
+    hits = [beside for text, beside in variants(seen[0], patterns) if text in heads]
+    return bool(hits), bool(hits) and all(hits)
+
+
+def _observations(lines: list[str], patterns: tuple[re.Pattern, ...] | None, heads: set[str]) -> list[tuple[tuple, bool] | None]:
+    """Of each line what is observed, and whether a page number stands beside a line that returns."""
+    seen = layout(lines, patterns)
+    back = [(False, False) if x is None or x[5] else returning(x, patterns, heads) for x in seen]
+    out: list[tuple[tuple, bool] | None] = []
+    for i, x in enumerate(seen):
+        if x is None:
+            out.append(None)
+            continue
+        by_head = x[5] and any(0 <= j < len(seen) and back[j][0] for j in (i - 1, i + 1))
+        out.append((observed(x, back[i][0], by_head), back[i][1]))
+    return out
+
+
+@functools.lru_cache(maxsize=2)
+def line_model(runs: int = scan_labels.RUNS, seed: int = scan_labels.SEED) -> tuple[dict, list, list, float]:
+    """(log emissions by state and observation, log transitions, log start, log of what was never observed), estimated from the labelled
+    pages by counts with half a count added to each."""
+    emitted: list[dict] = [{} for _ in STATES]
+    total = [0] * len(STATES)
+    steps = [[0.5] * len(STATES) for _ in STATES]
+    start = [0.5] * len(STATES)
+    values: dict[str, set] = {}
+    for pages in scan_labels.table(runs, seed):
+        heads = _recurrent([(page, [line for line, _ in lines]) for page, lines in enumerate(pages, 1)])
+        for page, lines in enumerate(pages, 1):
+            labels = [label for _, label in lines]
+            for got, label in zip(_observations([line for line, _ in lines], number_patterns(page), heads), labels):
+                if got is None:
+                    continue
+                # a head is a line that returns: one that stands on a single page can't be told from a heading
+                label = BODY if label == HEAD and not got[0][0][1] else label
+                total[label] += 1
+                for x in got[0]:
+                    values.setdefault(x[0], set()).add(x)
+                    emitted[label][x] = emitted[label].get(x, 0) + 1
+            if labels:
+                start[labels[0]] += 1
+            for a, b in zip(labels, labels[1:]):
+                steps[a][b] += 1
+    groups = {g: len(v) + 1 for g, v in values.items()}
+    emit = [{x: math.log((emitted[k].get(x, 0) + 0.5) / (total[k] + 0.5 * groups[x[0]])) for v in values.values() for x in v} for k in STATES]
+    unseen = math.log(0.5 / (max(total) + 1))
+    return emit, [[math.log(x / sum(row)) for x in row] for row in steps], [math.log(x / sum(start)) for x in start], unseen
+
+
+def _recurrent(pages: list[tuple[int, list[str]]]) -> set[str]:
+    """The lines that may be heads and return on HEAD_PAGES pages of a run."""
+    found: dict[str, set[int]] = {}
+    for page, lines in pages:
+        for v in _head_lines(lines, page):
+            found.setdefault(v, set()).add(page)
+    return {v for v, on in found.items() if len(on) >= HEAD_PAGES}
+
+
+def _head_lines(lines: list[str], page: int | None) -> set[str]:
+    patterns = number_patterns(page) if page is not None and page > 0 else None
+    return {v for x in layout(lines, patterns) if head_like(x) for v, _ in variants(x[0], patterns)}
+
+
+_NEVER = -1e9
+
+
+def label_lines(lines: list[str], page: int | None, heads: set[str], model: tuple | None = None) -> tuple[list[int], bool]:
     """The most probable labels of the lines of a page, and whether a number stands beside a head."""
+    emit, steps, start, unseen = model or line_model()
     patterns = number_patterns(page) if page is not None and page > 0 else None
-    n = len(lines)
-    score = np.zeros((n, len(STATES)))
-    beside = [False] * n
-    for i, line in enumerate(lines):
-        s = line.strip()
-        if not s:
-            score[i] = (-50, -50, -50, 5)
+    seen = _observations(lines, patterns, heads)
+    best: list[float] = []
+    back: list[list[int]] = []
+    for i, got in enumerate(seen):
+        if got is None:
+            score = [_NEVER, _NEVER, _NEVER, 0.0]
+        else:
+            score = [sum(emit[k].get(x, unseen) for x in got[0]) for k in (BODY, HEAD, NUMBER)] + [_NEVER]
+        if i == 0:
+            best = [a + b for a, b in zip(start, score)]
             continue
-        score[i, 3] = -50
-        above = lines[i - 1].strip() if i else ""
-        below = lines[i + 1].strip() if i + 1 < n else ""
-        edge = not any(x.strip() for x in lines[: max(i - 1, 0)]) or not any(x.strip() for x in lines[i + 2 :])
-        alone = not above and not below
-        returns = [with_number for text, with_number in variants(s, patterns) if text in heads]
-        like = head_like(lines, i, patterns)
-        score[i, 1] = 4.0 if returns and like else 1.0 if returns and edge else -8.0
-        beside[i] = any(returns) and not (norm(s) in heads)
-        is_number = patterns is not None and patterns[0].fullmatch(s) is not None
-        by_head = any(v in heads for x in (above, below) if x for v, _ in variants(x, patterns))
-        between = _ENDED.search(above) is not None and (below[:1].isupper() or not below)
-        score[i, 2] = (4.0 if alone or edge or by_head or between else -3.0) if is_number else -10.0
-        score[i, 0] = 1.5 if len(s) > HEAD_CHARS or s[0].islower() else 0.5
-    best = _START + score[0]
-    back = np.zeros((n, len(STATES)), int)
-    for i in range(1, n):
-        step = best[:, None] + _STEP
-        back[i] = step.argmax(axis=0)
-        best = step.max(axis=0) + score[i]
-    path = [int(best.argmax())]
-    for i in range(n - 1, 0, -1):
-        path.append(int(back[i, path[-1]]))
+        arg = [max(STATES, key=lambda a, b=b: best[a] + steps[a][b]) for b in STATES]
+        best = [best[a] + steps[a][b] + score[b] for b, a in enumerate(arg)]
+        back.append(arg)
+    path = [max(STATES, key=lambda a: best[a])]
+    for arg in reversed(back):
+        path.append(arg[path[-1]])
     path.reverse()
-    return path, any(b and s == 1 for b, s in zip(beside, path))
+    return path, any(got is not None and got[1] and k == HEAD for got, k in zip(seen, path))
 
 
 _BROKEN = re.compile(rf"(?<=[^\W\d_])[-{SOFT}{NOT_SIGN}{HYPHEN}‑][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 _TOKEN = re.compile(rf"[\w{DAGGER}@|!]*[^\W\d_][\w{DAGGER}@|!]*")
 
 
-def repair(text: str, page: int | None, whole: bool, heads: set[str], fixes: dict[str, str]) -> tuple[str, list[str]]:
+def repair(text: str, page: int | None, whole: bool, heads: set[str], fixes: dict[str, str], model: tuple | None = None) -> tuple[str, list[str]]:
     """The repaired text and the defects it had."""
+    if "\n" not in text and not fixes:
+        return " ".join(text.split()), []
     lines = text.replace("\r\n", "\n").split("\n")
     defects = []
     if whole and len(lines) > 1:
-        labels, beside = label_lines(lines, page, heads)
-        if 1 in labels:
+        labels, beside = label_lines(lines, page, heads, model)
+        if HEAD in labels:
             defects.append("header")
-        if 2 in labels or beside:
+        if NUMBER in labels or beside:
             defects.append("page_number")
         kept, last = [], None
         for line, s in zip(lines, labels):
-            if s in (1, 2):
+            if s in (HEAD, NUMBER):
                 # a head between the halves of a sentence is no paragraph break
                 while kept and not kept[-1].strip() and last is not None and not _TERMINATED.search(last):
                     kept.pop()
                 continue
-            if s == 3 and (not kept or not kept[-1].strip()):
+            if s == BLANK and (not kept or not kept[-1].strip()):
                 continue
             kept.append(line)
             last = line.strip() or last
@@ -293,11 +413,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for ocr_id, run, page, text in zip(pdf["ocr_id"], pdf["run_id"], pdf["page"], pdf["text"]):
             page = None if page is None or page != page else int(page)
-            patterns = number_patterns(page) if page is not None and page > 0 else None
-            lines = text.replace("\r\n", "\n").split("\n")
-            for i in range(len(lines)):
-                if head_like(lines, i, patterns):
-                    rows += [(ocr_id, run, page, v) for v, _ in variants(lines[i].strip(), patterns)]
+            rows += [(ocr_id, run, page, v) for v in sorted(_head_lines(text.replace("\r\n", "\n").split("\n"), page))]
         yield pd.DataFrame(rows, columns=["ocr_id", "run_id", "page", "line"]).astype({"page": "Int32"})
 
 
@@ -310,11 +426,15 @@ def heads_of(df: DataFrame) -> DataFrame:
     return lines.join(again, F.col("run_id").eqNullSafe(F.col("r")) & (F.col("line") == F.col("l")), "left_semi").groupBy("ocr_id").agg(F.collect_set("line").alias("heads"))
 
 
-def repaired(df: DataFrame) -> DataFrame:
-    """ocr_id, text, defects of every block: the text in continuous paragraphs and the defects it had."""
+def _with_evidence(df: DataFrame) -> DataFrame:
+    """The blocks with the lines that return and the misread words of each."""
     rows = df.select("ocr_id", "run_id", "page", "block_id", "text")
     both = rows.select("ocr_id", "page", F.col("block_id").isNull().alias("whole"), "text")
-    both = both.join(heads_of(rows), "ocr_id", "left").join(misreadings(rows), "ocr_id", "left")
+    return both.join(heads_of(rows), "ocr_id", "left").join(misreadings(rows), "ocr_id", "left")
+
+
+def _repaired(both: DataFrame) -> DataFrame:
+    model = line_model()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -325,12 +445,18 @@ def repaired(df: DataFrame) -> DataFrame:
                     continue
                 page = None if page is None or page != page else int(page)
                 pairs = {f["word"]: f["meant"] for f in fixes} if fixes is not None else {}
-                out.append((ocr_id, *repair(text, page, bool(whole), set(heads) if heads is not None else set(), pairs)))
+                out.append((ocr_id, *repair(text, page, bool(whole), set(heads) if heads is not None else set(), pairs, model)))
             yield pd.DataFrame(out, columns=["ocr_id", "text", "defects"])
 
     return both.mapInPandas(run, "ocr_id long, text string, defects array<string>")
 
 
+def repaired(df: DataFrame) -> DataFrame:
+    """ocr_id, text, defects of every block: the text in continuous paragraphs and the defects it had."""
+    return _repaired(_with_evidence(df))
+
+
 def found(df: DataFrame) -> DataFrame:
-    """ocr_id, defect."""
-    return repaired(df).select("ocr_id", F.explode("defects").alias("defect")).distinct()
+    """ocr_id, defect. A text of one line without a misread word has none, so only the others go to Python."""
+    both = _with_evidence(df).where(F.contains("text", F.lit("\n")) | F.col("fixes").isNotNull())
+    return _repaired(both).select("ocr_id", F.explode("defects").alias("defect")).distinct()

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliomill.llm import languages, mix, percentiles, pii, pii_labels, residue, scans, tokens, truncation
+from foliomill.llm import languages, mix, percentiles, pii, pii_labels, residue, scan_labels, scans, tokens, truncation
 
 LONG = "The clerk weighed the upper valve at noon. " * 3000
 BLOCKS = "ocr_id long, run_id string, doc_id string, page int, block_id int, kind string, script string, lang string, text string, line string, word string, n long, key string, kind2 string"
@@ -252,8 +252,70 @@ def test_scan_defects_and_repair(spark):
     assert scans.found(df.where("1 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("rows", [7, 9, 40])
+def test_frequent_misreadings_are_found(spark, rows):
+    """A recogniser's systematic error: however many rows have it, it is judged; both ways to look up what was meant agree."""
+    body = ["The ledger for the spring quarter was copied."] * (rows * 25)
+    texts = body + ["The lcdger was closed early."] * rows + ["The w@rden counted c0pied sheets.", "warden"] + ["The warden copied it."] * 60
+    df = _blocks(spark, texts, block_id=1)
+    found = [sorted((r.ocr_id, tuple(sorted((f.word, f.meant) for f in r.fixes))) for r in scans.misreadings(df, limit).collect()) for limit in (scans.MAX_COMMON, 0)]
+    assert found[0] == found[1]
+    got = dict(found[0])
+    assert sum(x == (("lcdger", "ledger"),) for x in got.values()) == rows
+    assert got[len(body) + rows] == (("c0pied", "copied"), ("w@rden", "warden"))
+
+
+def test_rare_words_can_be_meant_in_a_large_corpus(spark):
+    """What counts is how much more frequent a word is, not its share of the corpus."""
+    texts = ["alpha beta gamma delta epsilon zeta eta theta " * 200] * 40 + ["kvartal"] * 25 + ["kvarta1"]
+    got = scans.misreadings(_blocks(spark, texts, block_id=1)).collect()
+    assert [(r.ocr_id, [tuple(f) for f in r.fixes]) for r in got] == [(65, [("kvarta1", "kvartal")])]
+
+
+def test_long_heads_are_heads(spark):
+    title = "Register of the Deliveries, Leases and Storage Permits of the Lower Harbour and its Warehouses, Volume Nine"
+    assert len(title) > 98
+    text = "{t}\n\nThe inspector weighed the {w} permits twice. The ledger was copied before the {w} visit."
+    pages = [text.format(t=title, w=w) for w in ("storage", "harbour", "upper", "second", "third", "sixth")]
+    rows = [(i, "r", "d", i + 1, None, "printed", "latin", "en", t, "x", "y", 1, "k", "z") for i, t in enumerate(pages)]
+    got = scans.found(spark.createDataFrame(rows, BLOCKS)).collect()
+    assert sorted((r.ocr_id, r.defect) for r in got) == [(i, "header") for i in range(6)]
+
+
+def test_line_model_on_held_out_pages():
+    """Pages of another seed: the labels of heads and numbers, of which those that stand on one page only can't be known."""
+    right = true = got = 0
+    for pages in scan_labels.table(150, 99):
+        heads = scans._recurrent([(p, [x for x, _ in lines]) for p, lines in enumerate(pages, 1)])
+        for page, lines in enumerate(pages, 1):
+            labels, _ = scans.label_lines([x for x, _ in lines], page, heads)
+            for (_, want), have in zip(lines, labels):
+                marks = (scan_labels.HEAD, scan_labels.NUMBER)
+                true, got, right = true + (want in marks), got + (have in marks), right + (want == have and want in marks)
+    print(f"lines of held-out pages: precision {right / got:.3f}, recall {right / true:.3f}")
+    assert right / got > 0.95 and right / true > 0.9
+
+
+def test_viterbi_of_lines_is_the_best_path():
+    import itertools
+
+    emit, steps, start, unseen = model = scans.line_model()
+    lines = ["Site Diary", "4", "", "The ledger was copied.", "Site Diary"]
+    seen = scans._observations(lines, scans.number_patterns(4), {"site diary"})
+
+    def score(path):
+        out = start[path[0]] + sum(steps[a][b] for a, b in zip(path, path[1:]))
+        for got, k in zip(seen, path):
+            out += scans._NEVER if (got is None) != (k == scan_labels.BLANK) else 0 if got is None else sum(emit[k].get(x, unseen) for x in got[0])
+        return out
+
+    best = max(itertools.product(range(4), repeat=len(lines)), key=score)
+    assert tuple(scans.label_lines(lines, 4, {"site diary"}, model)[0]) == best
+
+
 def test_page_numbers():
     whole = scans.number_patterns(6)[0]
+    assert scans.number_patterns(402)[0].fullmatch("cdii")
     for s in ("6", "- 6 -", "[6]", "Seite 6", "p. 6 of 13", "6/21", "vi"):
         assert whole.fullmatch(s), s
     for s in ("16", "6.4", "66", "Sheet 6", "6 boxes"):

@@ -485,6 +485,8 @@ ENDS = [
     ("The clerk weighed the upper valve. The inspector asked wheth", True), ("The clerk weighed the upper valve at noon.", False), ("One sentence. The fee is 5 EU" + chr(0xFFFD), True), ("One sentence. The clerk " + chr(0x2026), True),
     ("One sentence. The clerk weig [more]", True), ("One sentence. And so it ended.\n\nYours faithfully\nHarbour Office", False), ("One sentence.\n\n- QV-1\n- QV-2", False), ("A | 1 | 2 EUR\nB | 2 | 3 EUR", False),
     ("One sentence.\n\nRef. SN-3712", False), ("One sentence.\n\n=== END ===", False), ("One sentence. (The amount was entered twice.)", False), ("One sentence. (The amount was entered", True), ("One sentence. " + chr(0x2713), False),
+    ("One sentence. The rest of it [remainder of this document was truncated]", True), ("One sentence. The rest of it\n[continued on the next sheet]", True), ("First line\nSecond unfinished line without the", True),
+    ("One sentence. (It was entered twice because the remainder was missing.)", False), ("One sentence.\n\nMit freundlichen Grüßen\nArchiv, Lesesaal 4", False), ("Short heading\nThe clerk weig", True), ("One sentence." + " " * 400 + "The clerk weig" + " " * 300, True),
     ("检查员检查了送货单。会议决定由", True), ("检查员检查了送货单。", False), ("", False), (None, False), (" \n", False), ("It said \\u00e", True),
 ]
 

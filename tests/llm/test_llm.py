@@ -438,6 +438,51 @@ def test_percentiles_against_brute_force(spark, digits):
     assert percentiles.percentiles(percentiles.summarise(df.where("1 = 0"), F.col("x"), {"g": F.col("g")}), ["g"], [500]).count() == 0
 
 
+@pytest.mark.parametrize("digits", [None, 6])
+@pytest.mark.parametrize("kind", ["double", "decimal(12,4)", "float"])
+def test_percentiles_of_fractions(spark, kind, digits):
+    r = random.Random(8)
+    xs = [0.25, 0.5, 0.625, 0.875] * 3 + [0.0, 1.5] + [round(r.random() * 10 ** r.randint(-2, 5), 4) for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select(F.col("x").cast(kind).alias("x"))
+    exact = sorted(float(v.x) for v in df.collect())
+    if kind != "decimal(12,4)":
+        df = df.unionByName(spark.createDataFrame([(float("nan"),), (float("inf"),), (None,), (-1.5,)], "x double").select(F.col("x").cast(kind).alias("x")))
+    got = percentiles.percentiles(percentiles.summarise(df, F.col("x"), {"g": F.lit(1)}, digits), ["g"], [1, 500, 990], digits).first()
+    assert got.n == len(exact) and (digits or got.error_bound == 0)
+    for q in (1, 500, 990):
+        want = exact[-(-len(exact) * q // 1000) - 1]
+        assert -1e-9 <= want - float(got[f"p{q}"]) <= float(got.error_bound) + 1e-9 and float(got.error_bound) <= max(exact) / 2**5 * 2
+    small = spark.createDataFrame([(x,) for x in (0.2, 0.4, 0.6, 0.9)], "x double")
+    assert percentiles.percentiles(percentiles.summarise(small, F.col("x"), {"g": F.lit(1)}), ["g"], [500]).first().p500 == 0.4
+
+
+def test_percentiles_of_crowded_values(spark):
+    """All values in one octave of a wide column: the ranges lie where the values do."""
+    df = spark.range(20_000).select((F.lit(10**15) + F.col("id")).alias("x"), (F.col("id") % 3).alias("g"))
+    summary = percentiles.summarise(df, F.col("x"), {"g": F.col("g")})
+    got = {r.g: r.p500 for r in percentiles.percentiles(summary, ["g"], [500]).collect()}
+    for g in range(3):
+        xs = [10**15 + i for i in range(g, 20_000, 3)]
+        assert got[g] == xs[-(-len(xs) * 500 // 1000) - 1]
+
+
+def test_percentile_queries_equal_their_sql(spark, sf):
+    import duckdb
+
+    from foliomill.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for name in ("page_summary", "documents"):
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    for name in ("p5_latency", "p5_latency_grid", "p7_round_trip"):
+        df = QUERIES[name](spark, sf)
+        rel = con.execute(ORACLES[name])
+        names = [d[0] for d in rel.description]
+        want = sorted(repr([dict(zip(names, r))[c] for c in sorted(names)]) for r in rel.fetchall())
+        assert sorted(df.columns) == sorted(names)
+        assert sorted(repr([r[c] for c in sorted(names)]) for r in df.collect()) == want
+
+
 # ---- 7 tokens, 8 mixing
 
 DOCS = ["Hello world, it's 2026!", "", None, "  \n\n a\t b  ", "日本語テキスト 👍🏽 é", "<|endoftext|> don't", "a" * 5000 + " " * 300 + "b", LONG, "Hello world, it's 2026!"]

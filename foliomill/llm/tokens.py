@@ -78,7 +78,7 @@ def word_table(df: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """word, n, ids: each distinct word of the corpus encoded once, written to the shared folder."""
     spark = df.sparkSession
     text = spark.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))  # a vocabulary file, 1.5 MB
-    words = distinct_words(df).repartition("word")
+    words = distinct_words(df).repartition("word")  # of all rows, also those of a doc_id that another replaces: no text is shuffled for it
     return materialize(words.mapInPandas(_encoder(text), "word string, n long, ids array<int>"), "words")
 
 
@@ -91,7 +91,7 @@ def _hot_and_tail(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 def encode(df: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, ids."""
     docs = one_text_per_doc(df)
-    hot, tail = _hot_and_tail(word_table(docs, tokenizer))
+    hot, tail = _hot_and_tail(word_table(df, tokenizer))
     spread = docs.select("key", "doc_id", F.posexplode_outer(split_words(F.col("text"))).alias("pos", "word"))
     near = spread.join(F.broadcast(hot), "word", "left")
     placed = F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))
@@ -105,7 +105,7 @@ def encode(df: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 def count_tokens(df: DataFrame, tokenizer: str = TOKENIZER, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, tokens and the columns to keep: as many tokens as encode gives, without making the ids."""
     docs = one_text_per_doc(df, keep)
-    words = word_table(docs, tokenizer).select("word", "n", F.size("ids").alias("tokens"))
+    words = word_table(df, tokenizer).select("word", "n", F.size("ids").alias("tokens"))
     hot, tail = _hot_and_tail(words)
     spread = docs.select("key", "doc_id", *keep, F.explode_outer(split_words(F.col("text"))).alias("word"))
     near = spread.join(F.broadcast(hot), "word", "left").groupBy("key").agg(*(F.first(c).alias(c) for c in ("doc_id", *keep)), F.sum("tokens").alias("near"))

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import table, work_dir
 from ..streaming import dedup
 
 
+#: Files the queue is read from, and how many make a micro-batch: the stream runs in three of them.
+FILES, FILES_PER_BATCH = 12, 4
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """delivery_id of every repeat, by the stateful streaming operator over all files of job_message."""
-    return dedup.found(spark, f"{sf_dir}/job_message.parquet*", table(spark, sf_dir, "job_message").schema)
+    """delivery_id of every repeat, by the stateful streaming operator over all of job_message, in three micro-batches."""
+    messages, root = table(spark, sf_dir, "job_message"), work_dir(spark, "messages")
+    path = dedup.in_batches(messages, FILES, root)
+    return dedup.found(spark, path, messages.schema, files_per_batch=FILES_PER_BATCH, root=f"{root}/stream")
 
 
 def p6_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,15 @@
 """Exactly one copy of each message of an at-least-once queue.
 
-`keep_one` is the batch form. `stream_verdicts` is the streaming form: a keyed state store of the identifiers seen,
+`keep_one` is the batch form. `verdicts` is the streaming form: a keyed state store (RocksDB) of the identifiers seen,
 expired by event-time watermark and checkpointed by Structured Streaming together with the output of each
 micro-batch; identifiers that expire are put out too, and what comes later is looked up among them.
 
+Identifiers are grouped by hash, and a group's live identifiers are one value of the state store, so that Python runs once a group and
+batch and a batch reads and writes only the groups its identifiers fall into. An entry of its own for each identifier was tried twice (a
+group state each, and map state within a group): its round trips between Python and the store took some forty times as long. So the number of groups
+is the parameter that scales: with some thousand identifiers a group, a group costs a few ms whatever the corpus. Expired
+identifiers are kept in a table by key hash, of which a batch reads the parts its new identifiers fall into.
+
 Defined cases. The key is (job_id without outer blanks and in lower case, attempt with null as 0). Rows whose job_id is
 null or blank have no key: they are always kept. Rows without delivery_id are kept only if no row of the key has
 one. The same delivery_id listed twice for a key is one delivery. An empty table gives an empty result. Clashing extra
@@ -27,9 +33,10 @@ from ..session import work_dir
 
 #: Groups that pass rows found to be repeats before the shuffle; they hold no state.
 PASS_GROUPS = 64
-#: Groups of identifiers, by hash. Each holds its live identifiers as one Arrow table in the state store, so that Python runs
-#: once a group and batch, not once a key. Fixed for the life of a checkpoint; choose it so that a group has some 10^4 live keys.
+#: Groups of identifiers, by hash. Fixed for the life of a checkpoint; choose it so that a group has some thousand live identifiers.
 BUCKETS = 256
+#: Parts of the table of expired identifiers, by key hash; a small batch reads few of them.
+PARTS = 16
 VERDICT = T.StructType(
     [
         T.StructField("key", T.StringType()),
@@ -38,6 +45,7 @@ VERDICT = T.StructType(
         T.StructField("verdict", T.StringType()),
     ]
 )
+
 STATE = T.StructType([T.StructField("seen", T.BinaryType())])
 
 
@@ -156,18 +164,31 @@ def verdicts(messages: DataFrame, watermark: str = "2 hours", keep_ms: int = 30
     )
 
 
+def _part_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(1), key), F.lit(PARTS)).cast("int")
+
+
+_LOOKED_UP = T.StructType([*VERDICT.fields, T.StructField("part", T.IntegerType()), T.StructField("batch", T.LongType())])
+
+
 def _sink(spark: SparkSession, root: str):
     """Writes a micro-batch to folders named by its number: a batch that is run again after a failure replaces its own output, so
-    state checkpoint and output agree. Keys new to the state store are then looked up among those that have expired."""
+    state checkpoint and output agree. Keys new to the state store are then looked up among those that expired in earlier batches, of
+    which only the parts are read that the new keys fall into."""
 
     def write(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{root}/raw/batch={batch}")
         session = df.sparkSession
-        expired = _verdicts_of(session, f"{root}/raw", "expired").where(F.col("batch") < batch)
-        if expired.isEmpty():
+        df.write.mode("overwrite").partitionBy("verdict").parquet(f"{root}/raw/batch={batch}")
+        mine = session.read.schema(VERDICT).parquet(f"{root}/raw/batch={batch}")
+        if _exists(session, f"{root}/raw/batch={batch}/verdict=expired"):
+            placed = mine.where("verdict = 'expired'").select("*", _part_of(F.col("key")).alias("part")).repartition("part")
+            placed.write.mode("overwrite").partitionBy("part").parquet(f"{root}/expired/batch={batch}")
+        if not _exists(session, f"{root}/expired"):
             return
-        old = expired.groupBy("key").agg(F.min_by(F.struct("delivery_id", "event_ms"), "delivery_id").alias("old"))
-        new = _verdicts_of(session, f"{root}/raw", "first").where(F.col("batch") == batch)
+        new = mine.where("verdict = 'first'").select("key", "delivery_id", "event_ms", _part_of(F.col("key")).alias("part"))
+        parts = [r[0] for r in new.select("part").distinct().collect()]  # at most PARTS numbers
+        known = session.read.schema(_LOOKED_UP).parquet(f"{root}/expired").where(F.col("part").isin(parts) & (F.col("batch") < batch))
+        old = known.groupBy("key").agg(F.min_by(F.struct("delivery_id", "event_ms"), "delivery_id").alias("old"))
         loser = F.when(F.col("old.delivery_id") > F.col("delivery_id"), F.col("old")).otherwise(F.struct("delivery_id", "event_ms"))
         again = new.join(old, "key").where(F.col("old.delivery_id") != F.col("delivery_id"))
         again.select("key", loser.alias("r")).select("key", "r.*", F.lit("repeat").alias("verdict")).write.mode("overwrite").parquet(f"{root}/late/batch={batch}")
@@ -175,11 +196,6 @@ def _sink(spark: SparkSession, root: str):
     return write
 
 
-def _verdicts_of(spark: SparkSession, path: str, verdict: str) -> DataFrame:
-    schema = T.StructType([*VERDICT.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(schema).parquet(path).where(F.col("verdict") == verdict)
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -191,9 +207,13 @@ def run_verdicts(spark: SparkSession, path: str, schema: T.StructType, files_per
     ('first' or 'repeat'; a delivery that was first at its time may be a repeat later). Called again with the same root it goes on where it stopped."""
     root = root or work_dir(spark, "dedup")
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    name = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")  # sweeps by processing time would make batches without data for ever
+    wanted = {
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # sweeps by processing time would make batches without data for ever
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         query = (
             verdicts(source, **options)
@@ -203,16 +223,30 @@ def run_verdicts(spark: SparkSession, path: str, schema: T.StructType, files_per
             .start()
         )
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     query.awaitTermination()
     out = spark.createDataFrame([], VERDICT)
     if _exists(spark, f"{root}/raw"):
-        out = spark.read.schema(VERDICT).parquet(f"{root}/raw/batch=*").where("verdict <> 'expired'")
+        out = spark.read.schema(_LOOKED_UP).parquet(f"{root}/raw").where("verdict <> 'expired'").select(*VERDICT.names)
     if _exists(spark, f"{root}/late"):
         out = out.unionByName(spark.read.schema(VERDICT).parquet(f"{root}/late/batch=*"))
     return out
 
 
+def in_batches(df: DataFrame, files: int, root: str) -> str:
+    """Writes a table of messages as a queue would have left it: files in the order of delivery, whose times rise. Returns the folder."""
+    spark, path = df.sparkSession, f"{root}/queue"
+    df.repartitionByRange(files, F.col("delivery_id").asc_nulls_first()).write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = sorted((f.getPath() for f in fs.listStatus(hadoop.Path(path)) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    now = fs.getFileStatus(hadoop.Path(path)).getModificationTime()
+    for i, file in enumerate(written):
+        fs.setTimes(file, now + 1000 * i, -1)
+    return path
+
+
 def found(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
     """delivery_id of every repeat, by the streaming operator."""
     return run_verdicts(spark, path, schema, **options).where("verdict = 'repeat'").select("delivery_id").distinct()

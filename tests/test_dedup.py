@@ -51,6 +51,21 @@ def test_state_expires_and_late_copies_are_looked_up(spark, tmp_path):
     rows = out.collect()
     assert {r.delivery_id for r in rows if r.verdict == "repeat"} == {4, 5}
     assert spark.read.parquet(f"{root}/raw").where("verdict = 'expired'").count() > 0
+    # the copies that came after the expiry were found by the lookup
+    assert {r.delivery_id for r in spark.read.parquet(f"{root}/late").collect()} == {4}
+
+
+def test_registered_query_runs_in_batches_with_expiry(spark, sf, tmp_path):
+    """The messages of the smallest table in four micro-batches, of which the later ones see expired identifiers."""
+    messages = spark.read.parquet(f"{sf}/job_message.parquet")
+    path = dedup.in_batches(messages, 8, str(tmp_path))
+    root = str(tmp_path / "stream")
+    out = dedup.run_verdicts(spark, path, messages.schema, 2, root, keep_ms=86_400_000)
+    got = {r.delivery_id for r in out.where("verdict = 'repeat'").collect()}
+    assert got == {r.delivery_id for r in dedup.repeats(messages).collect()}
+    raw = spark.read.parquet(f"{root}/raw")
+    assert raw.select("batch").distinct().count() == 4
+    assert raw.where("verdict = 'expired'").count() > 0
 
 
 def test_keep_one_with_clashing_columns_nulls_and_no_rows(spark):

@@ -45,6 +45,15 @@ def output_path(out_dir: Column, out_name: Column, pdf_path: Column, suffix: str
     return F.concat(F.regexp_replace(out_dir, r"/+\z", ""), F.lit("/"), name, F.lit(suffix))
 
 
+# What can be downloaded of a job, and the suffix that stands for .txt.
+DOWNLOADS = {"txt": ".txt", "jsonl": ".jsonl", "metrics": ".metrics.json", "deviation": ".deviation.json"}
+
+
+def download_path(out_txt: Column, kind: str) -> Column:
+    """The file of a kind beside the text of a job."""
+    return F.concat(F.regexp_replace(out_txt, r"\.txt\z", ""), F.lit(DOWNLOADS[kind]))
+
+
 def is_pdf(path: Column) -> Column:
     return F.coalesce(F.lower(path).endswith(".pdf"), F.lit(False))
 
@@ -57,6 +66,26 @@ def page_banner(page: Column, pages: Column, mode: Column) -> Column:
     return F.format_string("=== PAGE %d / %d (%s) ===", page, pages, mode)
 
 
+def page_name(page: Column, suffix: str = ".txt") -> Column:
+    """The file of one page, its number padded with zeros to four places."""
+    return F.format_string("page_%04d" + suffix, page)
+
+
+def iso_text(ts: Column) -> Column:
+    """A timestamp without zone, taken as UTC, in ISO seconds."""
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def epoch_seconds(ts: Column) -> Column:
+    """A timestamp, taken as UTC, in seconds since 1970 with fractions."""
+    return F.unix_micros(ts.cast("timestamp")) / 1_000_000
+
+
+def fixed(x: Column, places: int) -> Column:
+    """A number as text with so many places, halves to the even neighbour, as the record format writes diagnostics."""
+    return F.format_string(f"%.{places}f", F.bround(x, places))
+
+
 def token_budget(kind: Column, area: Column) -> Column:
     """Decoder tokens a crop may take: by area, clamped, handwriting more generously."""
     hand = F.least(F.lit(196), F.greatest(F.lit(64), F.floor(area / 2200).cast("int")))
@@ -104,6 +133,11 @@ def quad_box(xs: Column, ys: Column) -> Column:
     return F.struct(*(f(v).cast("int").alias(n) for f, v, n in ((F.array_min, xs, "x0"), (F.array_min, ys, "y0"), (F.array_max, xs, "x1"), (F.array_max, ys, "y1"))))
 
 
+def relative_box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:
+    """The box of relative coordinates in pixels, cut to integers."""
+    return F.struct(*((v * size).cast("int").alias(n) for v, size, n in ((x0, width, "x0"), (y0, height, "y0"), (x1, width, "x1"), (y1, height, "y1"))))
+
+
 def valid_block(text: Column, b: Column) -> Column:
     """An engine's block counts if it has text and an area."""
     return F.coalesce((strip_ws(text) != "") & (b["x1"] > b["x0"]) & (b["y1"] > b["y0"]), F.lit(False))

@@ -16,10 +16,10 @@ def shares(counts: DataFrame, by: str) -> DataFrame:
     return counts.withColumn("share", F.try_divide(F.col("n").cast("double"), total)).where("share is not null").select(by, "category", "share")
 
 
-def divergence(pairs: DataFrame, left: DataFrame, right: DataFrame, by: str, empty_side: float) -> DataFrame:
-    """pair, js: Jensen-Shannon divergence in bits of the category distributions of two groups.
+def divergences(pairs: DataFrame, left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+    """pair, core, hard: Jensen-Shannon divergence in bits of the category distributions of two groups, by both definitions.
 
-    pairs has pair, a, b (groups of left and right). With one side empty the two definitions differ: 0.5 where the missing side
+    pairs has pair, a, b (groups of left and right). With one side empty the definitions differ: 0.5 where the missing side
     counts as a zero vector in the mean (core), 0.0 where it stops the comparison (hard); both empty give 0.
     """
     a = pairs.join(shares(left, by), pairs["a"] == F.col(by)).select("pair", "category", F.col("share").alias("p"), F.lit(0.0).alias("q"))
@@ -30,8 +30,13 @@ def divergence(pairs: DataFrame, left: DataFrame, right: DataFrame, by: str, emp
     term = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     js = both.groupBy("pair").agg((F.sum(term(F.col("p"))) / 2 + F.sum(term(F.col("q"))) / 2).alias("js"), F.sum("p").alias("pa"), F.sum("q").alias("qb"))
     one_empty = (F.col("pa") == 0) | (F.col("qb") == 0)
-    out = js.select("pair", F.when(one_empty, F.lit(empty_side)).otherwise(F.col("js")).alias("js"))
-    return pairs.select("pair").join(out, "pair", "left").select("pair", F.coalesce("js", F.lit(0.0)).alias("js"))
+    out = js.select("pair", *(F.when(one_empty, F.lit(x)).otherwise(F.col("js")).alias(n) for n, x in (("core", 0.5), ("hard", 0.0))))
+    return pairs.select("pair").join(out, "pair", "left").fillna({"core": 0.0, "hard": 0.0})
+
+
+def divergence(pairs: DataFrame, left: DataFrame, right: DataFrame, by: str, empty_side: float) -> DataFrame:
+    """pair, js: the divergence of one definition, by what an empty side counts: 0.5 (core) or 0.0 (hard)."""
+    return divergences(pairs, left, right, by).select("pair", F.col("core" if empty_side else "hard").alias("js"))
 
 
 def baselines(headers: DataFrame) -> DataFrame:
@@ -76,3 +81,18 @@ def deviations(metrics: DataFrame, pairs: DataFrame, js_script: DataFrame, js_mo
     )
     rows = rows.join(js_script.select("pair", F.col("js").alias("js_script")), "pair").join(js_mode.select("pair", F.col("js").alias("js_mode")), "pair")
     return rows.withColumn("alerts", alert_list(core))
+
+
+def deltas(core: bool) -> Column:
+    """map<string, double> of a compared run: what changed against its baseline; the hard form has no latency."""
+    names = ["js_script", "js_mode", "placeholder_rate_abs", "error_rate_abs"]
+    pairs = [F.struct(F.lit(n).alias("key"), F.col(n).alias("value")) for n in names]
+    if core:
+        pairs.append(F.when(F.col("latency_ratio").isNotNull(), F.struct(F.lit("page_latency_mean_ratio").alias("key"), F.col("latency_ratio").alias("value"))))
+    return F.map_from_entries(F.array_compact(F.array(*pairs)))
+
+
+def report(compared: DataFrame, core: bool = True) -> DataFrame:
+    """run_id, value: the deviation report of each compared run as one pretty JSON document."""
+    body = F.struct(F.col("pair").alias("run_id"), F.col("baseline_run"), F.lit(False).alias("baseline_created"), F.col("alerts"), deltas(core).alias("deltas"))
+    return compared.select(F.col("pair").alias("run_id"), F.to_json(body, {"pretty": "true"}).alias("value"))

@@ -45,8 +45,14 @@ def split_valid(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return jobs.where(is_valid()), jobs.where(~is_valid()).withColumn("reason", F.lit("malformed"))
 
 
-def accepts_path(path: Column) -> Column:
-    return is_pdf(path)
+def accepts_path(path: Column, exists: Column | None = None) -> Column:
+    """Whether a path may be submitted: a .pdf, of a file that exists where that is known."""
+    return is_pdf(path) if exists is None else is_pdf(path) & F.coalesce(exists, F.lit(False))
+
+
+def accepts_upload(content: Column) -> Column:
+    """Whether an upload may be submitted: its body isn't empty, whatever its name."""
+    return F.coalesce(F.octet_length(content) > 0, F.lit(False))
 
 
 def latest_results(results: DataFrame) -> DataFrame:
@@ -92,6 +98,41 @@ def events(jobs: DataFrame, results: DataFrame) -> DataFrame:
     return queued.unionByName(begun).unionByName(ended)
 
 
+def log_of(given: DataFrame, skipped: DataFrame, results: DataFrame) -> DataFrame:
+    """job_id, attempt, seq, type: what happened to the jobs of a batch, seq in the order of a job's life."""
+    ended = (
+        F.when(F.col("action") == "retry", F.array(F.lit("job_finished"), F.lit("job_retry")))
+        .when(F.col("status") == "timeout", F.array(F.lit("job_timeout")))
+        .when(F.col("status") == "crash", F.array(F.lit("job_crash")))
+        .otherwise(F.array(F.lit("job_finished")))
+    )
+    of = lambda df, seq, name: df.select("job_id", "attempt", F.lit(seq).alias("seq"), F.lit(name).alias("type"))
+    ends = results.select("job_id", "attempt", F.posexplode(ended).alias("p", "type")).select("job_id", "attempt", (F.col("p") + 2).alias("seq"), "type")
+    return of(given, 1, "job_started").unionByName(ends).unionByName(of(skipped, 0, "job_skipped_idempotent"))
+
+
+def skip_events(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """job_id, type, at: messages received after their job was done, which are skipped."""
+    done = results.where(F.col("status").isin(*DONE)).groupBy("job_id").agg(F.min("finished_at").alias("done_at"))
+    late = jobs.join(done, "job_id").where(F.col("received_at") > F.col("done_at"))
+    return late.select("job_id", F.lit("job_skipped_idempotent").alias("type"), F.col("received_at").alias("at"))
+
+
+def inflight(results: DataFrame) -> DataFrame:
+    """at, running: how many attempts are running after each start or end. Sums per second come first, so the one ordered window runs over
+    at most as many rows as there are seconds in the history, whatever the number of jobs."""
+    timed = results.where(F.col("finished_at").isNotNull() & F.col("runtime_s").isNotNull())
+    end = F.date_trunc("second", "finished_at")
+    begin = F.date_trunc("second", F.col("finished_at") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("runtime_s").cast("decimal(18,6)")))
+    steps = timed.select(begin.alias("at"), F.lit(1).alias("d")).unionByName(timed.select(end.alias("at"), F.lit(-1).alias("d")))
+    per_second = steps.groupBy("at").agg(F.sum("d").alias("d"))
+    per_day = per_second.groupBy(F.to_date("at").alias("day")).agg(F.sum("d").alias("day_sum"))
+    before = per_day.select("day", (F.sum("day_sum").over(Window.orderBy("day")) - F.col("day_sum")).alias("before"))  # a row a day
+    within = F.sum("d").over(Window.partitionBy(F.to_date("at")).orderBy("at"))
+    both = per_second.withColumn("within", within).withColumn("day", F.to_date("at")).join(before, "day")
+    return both.select("at", (F.col("before") + F.col("within")).alias("running"))
+
+
 def status_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("status", "exit_code").agg(F.count(F.lit(1)).alias("n"))
 

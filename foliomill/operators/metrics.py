@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 
@@ -24,6 +25,16 @@ def floor_quantile(x: Column, q: float) -> Column:
     return F.when(F.size(xs) > 0, F.element_at(xs, F.greatest(at, F.lit(1))))
 
 
+def floor_quantiles(df: DataFrame, by: str, value: str, q: float) -> DataFrame:
+    """by, lower: the same for groups of any size: counts of values, a running sum over them, and the first value that reaches the rank."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(by)
+    upto = counts.withColumn("__upto", F.sum("__n").over(w.orderBy(value))).withColumn("__all", F.sum("__n").over(w))
+    rank = F.floor((F.col("__all") - 1) * F.lit(q)) + 1
+    found = upto.where(F.col("__upto") >= rank).groupBy(by).agg(F.min(value).alias("lower"))
+    return df.select(by).distinct().alias("g").join(found.alias("f"), F.col(f"g.{by}").eqNullSafe(F.col(f"f.{by}")), "left").select(f"g.{by}", "lower")
+
+
 def diagnostic(name: str) -> Column:
     """A number kept as text in the diagnostics map; null if absent or no number."""
     return F.try_element_at(F.col("diagnostics"), F.lit(name)).try_cast("double")
@@ -47,13 +58,19 @@ def core_metrics(blocks: DataFrame, summaries: DataFrame, errors: DataFrame, hea
         F.count(F.lit(1)).alias("summaries"),
         F.avg(F.when(mode != "embedded", F.col("latency_ms"))).alias("latency_mean"),
         linear_quantile(F.when(mode != "embedded", F.col("latency_ms")), 0.95).alias("latency_p95"),
+    )
+    # diagnostics of every page, also of those that failed
+    pages = summaries.select("run_id", "diagnostics").unionByName(errors.select("run_id", "diagnostics"))
+    d = pages.groupBy("run_id").agg(
         F.avg(diagnostic("prep_ms")).alias("prep_mean"),
         linear_quantile(diagnostic("prep_ms"), 0.95).alias("prep_p95"),
         F.avg(diagnostic("boxes")).alias("boxes_mean"),
         linear_quantile(diagnostic("boxes"), 0.95).alias("boxes_p95"),
+        F.avg(diagnostic("pr_crops")).alias("printed_crops_mean"),
+        F.avg(diagnostic("hw_crops")).alias("handwriting_crops_mean"),
     )
     e = errors.groupBy("run_id").agg(F.count(F.lit(1)).alias("errors"))
-    out = headers.select("run_id", "doc_id", F.col("pages").alias("header_pages")).join(s, "run_id", "left").join(e, "run_id", "left").join(b, "run_id", "left")
+    out = headers.select("run_id", "doc_id", F.col("pages").alias("header_pages")).join(s, "run_id", "left").join(d, "run_id", "left").join(e, "run_id", "left").join(b, "run_id", "left")
     counts = {"blocks": 0, "placeholders": 0, "form_blocks": 0, "summaries": 0, "errors": 0}
     out = out.fillna(counts)
     pages = F.coalesce("header_pages", F.col("summaries") + F.col("errors"))

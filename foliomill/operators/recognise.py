@@ -5,12 +5,16 @@ from __future__ import annotations
 import importlib.util
 import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import quad_box, relative_box, valid_block
+from ..functions.text import strip_ws
+
 
 class Recogniser(Protocol):
     """Made once per Python worker by a factory; reads a batch of crops."""
@@ -18,11 +22,37 @@ class Recogniser(Protocol):
     def read(self, images: list[bytes], kinds: list[str], tokens: list[int]) -> list[str]: ...
 
 
-class EchoRecogniser:
-    """A stand-in for tests: the bytes are the text, cut to the token budget."""
+@dataclass(frozen=True)
+class Decoding:
+    """How a line model decodes: greedily, with repeats held down. Fixed values of the record format."""
+
+    beams: int = 1
+    no_repeat_ngram: int = 3
+    repetition_penalty: float = 1.12
+
+
+def device(has_gpu: bool) -> tuple[str, str, int]:
+    """(device, number type, batch) for what there is."""
+    return ("cuda", "float16", 6) if has_gpu else ("cpu", "float32", 2)
+
+
+def blocks_of_quads(lines: DataFrame) -> DataFrame:
+    """page, bbox, text, conf, engine of a full-page engine that gives quadrilaterals: page, xs, ys, text, conf. Lines without text or area
+    are left out."""
+    box = quad_box(F.col("xs"), F.col("ys"))
+    return _kept(lines.select("page", box.alias("b"), "text", F.col("conf").cast("double").alias("conf"), F.lit("paddleocr").alias("engine")))
+
+
+def blocks_of_shares(lines: DataFrame) -> DataFrame:
+    """The same of an engine that gives words and boxes relative to the page: page, words, x0, y0, x1, y1, width, height; it has no confidence."""
+    box = relative_box(*(F.col(c) for c in ("x0", "y0", "x1", "y1", "width", "height")))
+    text = strip_ws(F.array_join("words", " "))
+    return _kept(lines.select("page", box.alias("b"), text.alias("text"), F.lit(None).cast("double").alias("conf"), F.lit("doctr").alias("engine")))
+
 
-    def read(self, images: list[bytes], kinds: list[str], tokens: list[int]) -> list[str]:
-        return [b.decode("utf-8", "replace")[: 4 * n] for b, n in zip(images, tokens)]
+def _kept(rows: DataFrame) -> DataFrame:
+    box = F.array(*(F.col(f"b.{c}") for c in ("x0", "y0", "x1", "y1")))
+    return rows.where(valid_block(F.col("text"), F.col("b"))).select("page", box.alias("bbox"), "text", "conf", "engine")
 
 
 def available(module: str) -> bool:

@@ -75,6 +75,26 @@ def parse_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Dat
     return parsed.where(~bad).select("r.*").drop("_bad"), parsed.where(bad).select("line")
 
 
+def by_type(records: DataFrame) -> dict[str, DataFrame]:
+    """The records of each type, of one scan of mixed lines."""
+    return {t: records.where(F.col("type") == t) for t in ("run_header", "block", "page_summary", "page_error")}
+
+
+def text_documents(pages: DataFrame, headers: DataFrame) -> DataFrame:
+    """run_id, out: the whole text of each run, its pages in order under their banners. What is gathered is one document's pages."""
+    rows = text_document(pages, headers)
+    ordered = F.array_sort(F.collect_list(F.struct("page", "out")))
+    return rows.groupBy("run_id").agg(ordered.alias("p")).select("run_id", F.array_join(F.transform("p", lambda x: x["out"]), "\n\n").alias("out"))
+
+
+def run_summary(pages: DataFrame, errors: DataFrame) -> DataFrame:
+    """run_id, pages, failed, exit_code of each run: 0 if no page failed, else 10."""
+    e = errors.groupBy("run_id").agg(F.count(F.lit(1)).alias("failed"))
+    p = pages.groupBy("run_id").agg(F.count(F.lit(1)).alias("done"))
+    both = p.join(e, "run_id", "full").fillna({"done": 0, "failed": 0})
+    return both.select("run_id", (F.col("done") + F.col("failed")).alias("pages"), "failed", F.when(F.col("failed") > 0, 10).otherwise(0).alias("exit_code"))
+
+
 def to_lines(df: DataFrame) -> DataFrame:
     """value: each row as one line of JSON, nulls left out, nothing escaped beyond need."""
     return df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("value"))

@@ -89,18 +89,56 @@ def job_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.parse_jobs(lines).groupBy("job_id", "attempt", "out_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def streaming_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The worker stream over valid messages: work fails for every job whose id hashes to 0 of 5 on its first attempt."""
+def _worker(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The worker stream over valid messages with the attempts they came with. Work fails on a job's first attempt if its last sign's
+    code is a multiple of 3, on every attempt if it is one of 7; it takes an hour if it is one of 11 and crashes if one of 13."""
     root = work_dir(spark, "worker")
-    m = _jobs(spark, sf_dir)[0].where(J.is_valid()).withColumn("attempt", F.lit(0))
-    worker.enqueue(m, f"{root}/queue")
+    worker.enqueue(_jobs(spark, sf_dir)[0].where(J.is_valid()), f"{root}/queue")
 
     def work(jobs: DataFrame) -> DataFrame:
-        fails = (F.pmod(F.xxhash64("job_id"), F.lit(5)) == 0) & (F.col("attempt") == 0)
-        return jobs.select("job_id", "attempt", F.when(fails, 1).otherwise(0).alias("exit_code"), F.lit(0.0).alias("runtime_s"))
+        code = F.ascii(F.right("job_id", F.lit(1)))
+        fails = (code % 7 == 0) | ((code % 3 == 0) & (F.col("attempt") == 0))
+        exit_code = F.when(code % 13 != 0, F.when(fails, 1).otherwise(F.when(code % 2 == 0, 10).otherwise(0)))
+        return jobs.select("job_id", "attempt", exit_code.alias("exit_code"), F.when(code % 11 == 0, 3600.0).otherwise(0.1234).alias("runtime_s"))
+
+    return worker.run_worker(spark, f"{root}/queue", root, work, rounds=4), root
+
+
+def streaming_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each attempt."""
+    out, _ = _worker(spark, sf_dir)
+    return out.select("job_id", F.col("attempt").cast("int").alias("attempt"), "status", "action")
+
+
+def streaming_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worker's log by type."""
+    _, root = _worker(spark, sf_dir)
+    return spark.read.parquet(f"{root}/events").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def skipped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages received after their job was done, by job."""
+    return J.skip_events(*_jobs(spark, sf_dir)).groupBy("job_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def inflight_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts running after each second in which one began or ended."""
+    return J.inflight(_jobs(spark, sf_dir)[1]).select(F.col("at").cast("string").alias("moment"), "running")
+
+
+def download_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of each result that can be downloaded."""
+    r = _jobs(spark, sf_dir)[1].where("out_txt is not null")
+    return r.select("job_id", F.coalesce("attempt", F.lit(0)).alias("attempt"), *(S.download_path(F.col("out_txt"), k).alias(k) for k in S.DOWNLOADS)).distinct()
+
+
+_INTAKE = [("a.pdf", True, "x"), ("B.PDF", True, ""), ("c.txt", True, "x"), ("d.pdf", False, None), ("", None, "y")]
+
 
-    out = worker.run_worker(spark, f"{root}/queue", root, work, rounds=2)
-    return out.groupBy("job_id").agg(F.max_by("status", "attempt").alias("status"), F.count(F.lit(1)).alias("attempts"))
+def intake_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which submits are accepted, by path and as an upload."""
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(_INTAKE)], "id int, path string, found boolean, body string")
+    return rows.select("id", J.accepts_path(F.col("path"), F.col("found")).alias("by_path"), J.accepts_upload(F.col("body").cast("binary")).alias("by_upload"))
 
 
 _BLANK = r"[\s\x{A0}]"
@@ -111,9 +149,35 @@ _ACTION = f"CASE WHEN {_DONE} THEN 'done' WHEN status IN ('timeout', 'crash') TH
 _STEM = r"regexp_replace(regexp_extract(pdf_path, '[^/]*$'), '(.)\.[^.]*$', '\1')"
 _OUT = f"regexp_replace(out_dir, '/+$', '') || '/' || coalesce(nullif(trim(out_name), ''), {_STEM})"
 
-_NAMES = "job_status_latest idempotent_pending idempotent_skipped dead_letters retry_dlq_split job_status job_events job_counts runtime_histogram queue_gauges load_summary job_paths in_flight_dedup job_parse streaming_jobs"
+_NAMES = (
+    "job_status_latest idempotent_pending idempotent_skipped dead_letters retry_dlq_split job_status job_events job_counts runtime_histogram queue_gauges load_summary job_paths in_flight_dedup job_parse streaming_jobs streaming_events "
+    "skipped_events inflight_gauge download_paths intake_checks"
+)
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
+# the worker without a stream: batch 0 works on every attempt received, each later one on the retries of the one before, as long as
+# nothing is done
+_WORKER = f"""
+m AS (SELECT DISTINCT job_id, coalesce(attempt, 0) AS attempt, ascii(right(job_id, 1)) AS c FROM job_message WHERE {_VALID}),
+w0 AS (SELECT *, CASE WHEN c % 11 = 0 THEN 'timeout' WHEN c % 13 = 0 THEN 'crash' WHEN c % 7 = 0 OR (c % 3 = 0 AND attempt = 0) THEN 'failed' WHEN c % 2 = 0 THEN 'partial' ELSE 'success' END AS status FROM m),
+w1 AS (SELECT job_id, attempt + 1 AS attempt, c, CASE WHEN c % 7 = 0 THEN 'failed' WHEN c % 2 = 0 THEN 'partial' ELSE 'success' END AS status FROM w0 a WHERE status = 'failed' AND attempt < 2
+  AND NOT EXISTS (SELECT 1 FROM w0 b WHERE b.job_id = a.job_id AND (b.status IN ('success', 'partial') OR b.attempt = a.attempt + 1))),
+w2 AS (SELECT job_id, attempt + 1 AS attempt, c, 'failed' AS status FROM w1 a WHERE status = 'failed' AND attempt < 2 AND NOT EXISTS (SELECT 1 FROM w0 b WHERE b.job_id = a.job_id AND b.attempt = a.attempt + 1)),
+w AS (SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2)
+"""
 ORACLES = {
+    "streaming_jobs": f"WITH {_WORKER} SELECT job_id, attempt, status, {_ACTION} AS action FROM w",
+    "streaming_events": f"""WITH {_WORKER}, e AS (SELECT 'job_started' AS type FROM w UNION ALL SELECT CASE WHEN status = 'timeout' THEN 'job_timeout' WHEN status = 'crash' THEN 'job_crash' ELSE 'job_finished' END FROM w
+UNION ALL SELECT 'job_retry' FROM w WHERE {_ACTION} = 'retry'
+UNION ALL SELECT 'job_skipped_idempotent' FROM w0 a WHERE status = 'failed' AND attempt < 2 AND EXISTS (SELECT 1 FROM w0 b WHERE b.job_id = a.job_id AND b.status IN ('success', 'partial'))
+UNION ALL SELECT 'job_skipped_idempotent' FROM w1 a WHERE status = 'failed' AND attempt < 2 AND EXISTS (SELECT 1 FROM w0 b WHERE b.job_id = a.job_id AND b.status IN ('success', 'partial')))
+SELECT type, count(*) AS n FROM e GROUP BY type""",
+    "skipped_events": f"""WITH d AS (SELECT job_id, min(finished_at) AS done_at FROM job_result WHERE {_DONE} GROUP BY job_id)
+SELECT m.job_id, 'job_skipped_idempotent' AS type, count(*) AS n FROM job_message m JOIN d ON d.job_id = m.job_id WHERE m.received_at > d.done_at GROUP BY ALL""",
+    "inflight_gauge": """WITH t AS (SELECT date_trunc('second', finished_at) AS e, date_trunc('second', finished_at - to_microseconds((runtime_s::DECIMAL(18,6) * 1000000)::BIGINT)) AS b FROM job_result WHERE finished_at IS NOT NULL AND runtime_s IS NOT NULL),
+s AS (SELECT b AS w, 1 AS d FROM t UNION ALL SELECT e, -1 FROM t), g AS (SELECT w, sum(d) AS d FROM s GROUP BY w)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS moment, (sum(d) OVER (ORDER BY w))::BIGINT AS running FROM g""",
+    "download_paths": "SELECT DISTINCT job_id, coalesce(attempt, 0) AS attempt, out_txt AS txt, " + ", ".join(f"regexp_replace(out_txt, '\\.txt$', '') || '{suffix}' AS {kind}" for kind, suffix in S.DOWNLOADS.items() if kind != "txt") + " FROM job_result WHERE out_txt IS NOT NULL",
+    "intake_checks": "SELECT * FROM (VALUES (0, true, true), (1, true, false), (2, false, true), (3, false, false), (4, false, true)) v(id, by_path, by_upload)",
     "job_status_latest": f"WITH {_LAST} SELECT job_id, status, attempt, exit_code FROM last",
     "idempotent_pending": f"WITH {_LAST} SELECT delivery_id, job_id FROM job_message WHERE {_VALID} AND job_id NOT IN (SELECT job_id FROM last WHERE {_DONE} AND job_id IS NOT NULL)",
     "idempotent_skipped": f"WITH {_LAST} SELECT job_id, count(*) AS messages FROM job_message WHERE {_VALID} AND job_id IN (SELECT job_id FROM last WHERE {_DONE}) GROUP BY job_id",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import Config
 from ..functions import scalar as S
 from ..functions import text as X
 from ..operators import drift as D
@@ -73,7 +76,8 @@ def block_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def placeholder_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every junk rule of every block."""
     rules = X.placeholder_rules(F.col("text"))
-    return table(spark, sf_dir, "ocr_block").select("ocr_id", *(c.alias(n) for n, c in rules.items()), X.is_placeholder(F.col("text")).alias("junk"))
+    rows = table(spark, sf_dir, "ocr_block").select("ocr_id", *(c.alias(n) for n, c in rules.items()))
+    return rows.withColumn("junk", reduce(lambda a, b: a | b, map(F.col, rules)))
 
 
 def ngram_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +136,11 @@ def hard_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both p95 definitions of job run times, per exit code."""
-    r = table(spark, sf_dir, "job_result").groupBy("exit_code")
-    return r.agg(F.round(M.linear_quantile(F.col("runtime_s"), 0.95), 6).alias("linear"), F.round(M.floor_quantile(F.col("runtime_s"), 0.95), 6).alias("lower"))
+    r = table(spark, sf_dir, "job_result")
+    linear = r.groupBy("exit_code").agg(F.round(M.linear_quantile(F.col("runtime_s"), 0.95), 6).alias("linear"))
+    lower = M.floor_quantiles(r, "exit_code", "runtime_s", 0.95).withColumnRenamed("exit_code", "code")
+    both = linear.join(lower, F.col("exit_code").eqNullSafe(F.col("code")), "left")
+    return both.select("exit_code", "linear", F.round("lower", 6).alias("lower"))
 
 
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,21 +162,37 @@ def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def js_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of script and mode mixes of each later run of a document from its first, both definitions."""
     pairs = D.baselines(table(spark, sf_dir, "run_header"))
-    out = None
-    for what, counts in (("script", _scripts(spark, sf_dir)), ("mode", _modes(spark, sf_dir))):
-        for name, empty in (("core", 0.5), ("hard", 0.0)):
-            js = D.divergence(pairs, counts, counts, "run_id", empty).select("pair", F.lit(what).alias("what"), F.lit(name).alias("definition"), F.round("js", 6).alias("js"))
-            out = js if out is None else out.unionByName(js)
-    return out
+    of = lambda what, c: D.divergences(pairs, c, c, "run_id").withColumn("what", F.lit(what))
+    both = of("script", _scripts(spark, sf_dir)).unionByName(of("mode", _modes(spark, sf_dir)))
+    forms = F.array(*(F.struct(F.lit(n).alias("definition"), F.round(n, 6).alias("js")) for n in ("core", "hard")))
+    return both.select("pair", "what", F.explode(forms).alias("f")).select("pair", "what", "f.*")
 
 
-def drift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts of each later run of a document against its first, pipeline definition."""
+def _compared(spark: SparkSession, sf_dir: str, core: bool) -> DataFrame:
     pairs = D.baselines(table(spark, sf_dir, "run_header"))
-    js = lambda c: D.divergence(pairs, c, c, "run_id", 0.5)
-    m = M.core_metrics(*_t(spark, sf_dir, "ocr_block", "page_summary", "page_error", "run_header"))
-    out = D.deviations(m, pairs, js(_scripts(spark, sf_dir)), js(_modes(spark, sf_dir)))
-    return out.select("pair", "baseline_run", F.round("latency_ratio", 6).alias("latency_ratio"), F.array_join(F.transform("alerts", lambda a: a["id"]), ",").alias("alerts"))
+    js = lambda c: D.divergence(pairs, c, c, "run_id", 0.5 if core else 0.0)
+    tables = _t(spark, sf_dir, "ocr_block", "page_summary", "page_error")
+    m = M.core_metrics(*tables, table(spark, sf_dir, "run_header")) if core else M.hard_metrics(*tables)
+    return D.deviations(m, pairs, js(_scripts(spark, sf_dir)), js(_modes(spark, sf_dir)), core)
+
+
+_DELTAS = ("js_script", "js_mode", "placeholder_rate_abs", "error_rate_abs", "latency_ratio")
+
+
+def _deviation(spark: SparkSession, sf_dir: str, core: bool) -> DataFrame:
+    names = _DELTAS if core else _DELTAS[:4]
+    alerts = F.array_join(F.transform("alerts", lambda a: a["id"]), ",").alias("alerts")
+    return _compared(spark, sf_dir, core).select("pair", "baseline_run", *(F.round(c, 6).alias(c) for c in names), alerts)
+
+
+def drift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas and alerts of each later run of a document against its first, pipeline definition."""
+    return _deviation(spark, sf_dir, True)
+
+
+def drift_alerts_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, wrapper definition: no latency, errors counted, other rates."""
+    return _deviation(spark, sf_dir, False)
 
 
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,18 +212,17 @@ def engine_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ink_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each crop shows enough ink for its kind, and how its page would be classified."""
+    """Whether each crop shows enough ink for its kind."""
     b = table(spark, sf_dir, "ocr_block").where("features is not null")
     form = F.coalesce(F.col("flags.is_form"), F.lit(False))
     gate = S.ink_gate(F.when(form, F.lit("form")).otherwise(F.lower("kind")))
-    page = S.page_mode(F.lit(0.0), F.col("features.ink_ratio"), F.col("features.ink_pixels"))
-    return b.select("ocr_id", S.enough_ink(F.col("features.ink_ratio"), F.col("features.ink_pixels"), gate).alias("passes"), page.alias("page_mode"))
+    return b.select("ocr_id", S.enough_ink(F.col("features.ink_ratio"), F.col("features.ink_pixels"), gate).alias("passes"))
 
 
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First ten regions of each page in reading order, with crop numbers."""
+    """The regions of each page in reading order up to the cap, with crop numbers."""
     b = table(spark, sf_dir, "ocr_block").where("bbox is not null").select("ocr_id", "run_id", "page", F.lower("kind").alias("kind"), S.box(F.col("bbox")).alias("b"))
-    top = G.capped_regions(b, ["run_id", "page"], "b", 10, "ocr_id")
+    top = G.capped_regions(b, ["run_id", "page"], "b", Config().max_crops, "ocr_id")
     return G.crop_ids(top, ["run_id", "page"], "kind", [F.col("rank")]).select("ocr_id", "rank", "crop_id")
 
 
@@ -253,22 +275,33 @@ b AS (SELECT run_id, count(*) AS blocks, count(*) FILTER (lower(mode) <> 'embedd
   count(*) FILTER (lower(mode) <> 'embedded' AND coalesce(flags.is_form, false)) AS form_blocks, avg(features.ink_ratio) AS ink_mean,
   quantile_cont(features.ink_ratio, 0.1) AS ink_p10, quantile_cont(features.ink_ratio, 0.5) AS ink_p50, quantile_cont(features.ink_ratio, 0.9) AS ink_p90 FROM ocr_block GROUP BY run_id),
 s AS (SELECT run_id, count(*) AS summaries, avg(latency_ms) FILTER (lower(trim(mode)) <> 'embedded') AS latency_mean,
-  quantile_cont(latency_ms::DOUBLE, 0.95) FILTER (lower(trim(mode)) <> 'embedded') AS latency_p95, avg(try_cast(diagnostics['prep_ms'] AS DOUBLE)) AS prep_mean,
-  quantile_cont(try_cast(diagnostics['prep_ms'] AS DOUBLE), 0.95) AS prep_p95, avg(try_cast(diagnostics['boxes'] AS DOUBLE)) AS boxes_mean,
-  quantile_cont(try_cast(diagnostics['boxes'] AS DOUBLE), 0.95) AS boxes_p95 FROM page_summary GROUP BY run_id),
+  quantile_cont(latency_ms::DOUBLE, 0.95) FILTER (lower(trim(mode)) <> 'embedded') AS latency_p95 FROM page_summary GROUP BY run_id),
+d AS (SELECT run_id, avg(try_cast(diagnostics['prep_ms'] AS DOUBLE)) AS prep_mean, quantile_cont(try_cast(diagnostics['prep_ms'] AS DOUBLE), 0.95) AS prep_p95, avg(try_cast(diagnostics['boxes'] AS DOUBLE)) AS boxes_mean,
+  quantile_cont(try_cast(diagnostics['boxes'] AS DOUBLE), 0.95) AS boxes_p95, avg(try_cast(diagnostics['pr_crops'] AS DOUBLE)) AS printed_crops_mean, avg(try_cast(diagnostics['hw_crops'] AS DOUBLE)) AS handwriting_crops_mean
+  FROM (SELECT run_id, diagnostics FROM page_summary UNION ALL SELECT run_id, diagnostics FROM page_error) GROUP BY run_id),
 e AS (SELECT run_id, count(*) AS errors FROM page_error GROUP BY run_id),
-core AS (SELECT h.run_id, h.doc_id, h.pages AS header_pages, coalesce(summaries, 0) AS summaries, latency_mean, latency_p95, prep_mean, prep_p95, boxes_mean, boxes_p95, coalesce(errors, 0) AS errors,
+core AS (SELECT h.run_id, h.doc_id, h.pages AS header_pages, coalesce(summaries, 0) AS summaries, latency_mean, latency_p95, prep_mean, prep_p95, boxes_mean, boxes_p95, printed_crops_mean, handwriting_crops_mean, coalesce(errors, 0) AS errors,
   coalesce(blocks, 0) AS blocks, coalesce(placeholders, 0) AS placeholders, coalesce(form_blocks, 0) AS form_blocks, ink_mean, ink_p10, ink_p50, ink_p90,
-  coalesce(h.pages, coalesce(summaries, 0) + coalesce(errors, 0)) AS pages FROM run_header h LEFT JOIN s USING (run_id) LEFT JOIN e USING (run_id) LEFT JOIN b USING (run_id)),
+  coalesce(h.pages, coalesce(summaries, 0) + coalesce(errors, 0)) AS pages FROM run_header h LEFT JOIN s USING (run_id) LEFT JOIN d USING (run_id) LEFT JOIN e USING (run_id) LEFT JOIN b USING (run_id)),
 cm AS (SELECT *, CASE WHEN blocks = 0 THEN 0 ELSE placeholders / blocks END AS placeholder_rate, CASE WHEN pages = 0 THEN 0 ELSE errors / pages END AS error_rate FROM core)
 """
+_HARD_SQL = f"""
+hb AS (SELECT run_id, count(*) AS blocks, count(*) FILTER (coalesce({_FLAG}, false)) AS placeholders FROM ocr_block GROUP BY run_id),
+hl AS (SELECT run_id, list_sort(list(latency_ms) FILTER (latency_ms IS NOT NULL)) AS x, count(*) AS pages, avg(latency_ms) AS latency_mean FROM page_summary GROUP BY run_id),
+hs AS (SELECT run_id, pages, latency_mean, x[1 + floor((len(x) - 1) * 0.95)::INT] AS latency_p95 FROM hl), he AS (SELECT run_id, count(*) AS errors FROM page_error GROUP BY run_id),
+hj AS (SELECT run_id, coalesce(pages, 0) AS pages, latency_mean, latency_p95, coalesce(errors, 0) AS errors, coalesce(blocks, 0) AS blocks, coalesce(placeholders, 0) AS placeholders FROM hs FULL JOIN he USING (run_id) FULL JOIN hb USING (run_id)),
+hm AS (SELECT *, CASE WHEN blocks = 0 THEN 0 ELSE placeholders / blocks END AS placeholder_rate, CASE WHEN pages = 0 THEN 0 ELSE errors / pages END AS error_rate FROM hj)
+"""
+_SHIFTS = "CASE WHEN js_script > 0.18 THEN 'P2_SCRIPT_MIX_SHIFT' END, CASE WHEN js_mode > 0.18 THEN 'P2_PAGE_MODE_SHIFT' END"
+_JUNK_SPIKE = "CASE WHEN n.placeholder_rate > greatest(0.08, o.placeholder_rate * 1.8) THEN 'P1_JUNK_SPIKE' END"
+_ABS = "round(n.placeholder_rate - o.placeholder_rate, 6) AS placeholder_rate_abs, round(n.error_rate - o.error_rate, 6) AS error_rate_abs, round(js_script, 6) AS js_script, round(js_mode, 6) AS js_mode"
 _AREA = "((bbox[3] - bbox[1]) * (bbox[4] - bbox[2]))"
 _BUDGET = f"CASE WHEN lower(kind) = 'handwriting' THEN least(196, greatest(64, {_AREA} // 2200)) ELSE least(128, greatest(48, {_AREA} // 3200)) END"
 _LIT = lambda xs: ", ".join("(" + str(i) + ", '" + s.replace("'", "''") + "')" for i, s in enumerate(xs))
 
 _NAMES = (
     "block_profile placeholder_flags placeholder_adversarial ngram_repetition script_by_block script_adversarial page_summary_text merge_child_outputs core_metrics hard_metrics quantiles category_counts "
-    "js_divergence drift_alerts document_ids engine_route ink_gate reading_order line_runs first_crops jsonl_round_trip run_order"
+    "js_divergence drift_alerts drift_alerts_hard document_ids engine_route ink_gate reading_order line_runs first_crops jsonl_round_trip run_order"
 )
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 ORACLES = {
@@ -285,13 +318,8 @@ FROM ocr_block WHERE {_C} <> '' AND NOT coalesce({_FLAG}, false) GROUP BY run_id
     "merge_child_outputs": """WITH p AS (SELECT run_id, unnest(range(1, pages + 1)) AS page FROM run_header WHERE pages > 0), s AS (SELECT DISTINCT run_id, page FROM page_summary), e AS (SELECT DISTINCT run_id, page FROM page_error)
 SELECT p.run_id, CASE WHEN s.run_id IS NOT NULL THEN 'summary' WHEN e.run_id IS NOT NULL THEN 'error' ELSE 'missing' END AS outcome, count(*) AS pages
 FROM p LEFT JOIN s ON s.run_id = p.run_id AND s.page = p.page LEFT JOIN e ON e.run_id = p.run_id AND e.page = p.page GROUP BY ALL""",
-    "core_metrics": f"WITH {_CORE_SQL} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in 'latency_mean latency_p95 prep_mean prep_p95 boxes_mean boxes_p95 ink_mean ink_p10 ink_p50 ink_p90 placeholder_rate error_rate'.split())}) FROM cm",
-    "hard_metrics": f"""WITH b AS (SELECT run_id, count(*) AS blocks, count(*) FILTER (coalesce({_FLAG}, false)) AS placeholders FROM ocr_block GROUP BY run_id),
-l AS (SELECT run_id, list_sort(list(latency_ms) FILTER (latency_ms IS NOT NULL)) AS x, count(*) AS pages, avg(latency_ms) AS latency_mean FROM page_summary GROUP BY run_id),
-s AS (SELECT run_id, pages, latency_mean, x[1 + floor((len(x) - 1) * 0.95)::INT] AS latency_p95 FROM l), e AS (SELECT run_id, count(*) AS errors FROM page_error GROUP BY run_id),
-j AS (SELECT run_id, coalesce(pages, 0) AS pages, latency_mean, latency_p95, coalesce(errors, 0) AS errors, coalesce(blocks, 0) AS blocks, coalesce(placeholders, 0) AS placeholders FROM s FULL JOIN e USING (run_id) FULL JOIN b USING (run_id))
-SELECT * REPLACE (round(latency_mean, 6) AS latency_mean, round(latency_p95, 6) AS latency_p95), round(CASE WHEN blocks = 0 THEN 0 ELSE placeholders / blocks END, 6) AS placeholder_rate,
-round(CASE WHEN pages = 0 THEN 0 ELSE errors / pages END, 6) AS error_rate FROM j""",
+    "core_metrics": f"WITH {_CORE_SQL} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in 'latency_mean latency_p95 prep_mean prep_p95 boxes_mean boxes_p95 printed_crops_mean handwriting_crops_mean ink_mean ink_p10 ink_p50 ink_p90 placeholder_rate error_rate'.split())}) FROM cm",
+    "hard_metrics": f"WITH {_HARD_SQL} SELECT * REPLACE (round(latency_mean, 6) AS latency_mean, round(latency_p95, 6) AS latency_p95, round(placeholder_rate, 6) AS placeholder_rate, round(error_rate, 6) AS error_rate) FROM hm",
     "quantiles": """WITH l AS (SELECT exit_code, list_sort(list(runtime_s) FILTER (runtime_s IS NOT NULL)) AS x FROM job_result GROUP BY exit_code)
 SELECT l.exit_code, round(q.v, 6) AS linear, round(x[1 + floor((len(x) - 1) * 0.95)::INT], 6) AS lower
 FROM l LEFT JOIN (SELECT exit_code, quantile_cont(runtime_s, 0.95) AS v FROM job_result GROUP BY exit_code) q ON l.exit_code IS NOT DISTINCT FROM q.exit_code""",
@@ -299,20 +327,22 @@ FROM l LEFT JOIN (SELECT exit_code, quantile_cont(runtime_s, 0.95) AS v FROM job
 UNION ALL SELECT run_id, lower(trim(kind)), count(*), 'kind' FROM ocr_block GROUP BY ALL UNION ALL SELECT run_id, lower(trim(script)), count(*), 'script' FROM ocr_block GROUP BY ALL""",
     "js_divergence": f"WITH {_JS_SQL} SELECT pair, what, 'core' AS definition, round(core, 6) AS js FROM mixes UNION ALL SELECT pair, what, 'hard', round(hard, 6) FROM mixes",
     "drift_alerts": f"""WITH {_JS_SQL}, {_CORE_SQL}, j2 AS (SELECT pair, max(core) FILTER (what = 'script') AS js_script, max(core) FILTER (what = 'mode') AS js_mode FROM mixes GROUP BY pair)
-SELECT p.pair, p.a AS baseline_run, round(CASE WHEN o.latency_mean > 0 THEN n.latency_mean / o.latency_mean END, 6) AS latency_ratio,
-array_to_string(list_filter([CASE WHEN n.error_rate > 0 THEN 'P1_PAGE_ERRORS' END, CASE WHEN n.placeholder_rate > greatest(0.08, o.placeholder_rate * 1.8) THEN 'P1_JUNK_SPIKE' END,
-CASE WHEN o.latency_mean > 0 AND n.latency_mean / o.latency_mean > 1.5 THEN 'P2_LATENCY_REGRESSION' END, CASE WHEN js_script > 0.18 THEN 'P2_SCRIPT_MIX_SHIFT' END, CASE WHEN js_mode > 0.18 THEN 'P2_PAGE_MODE_SHIFT' END], lambda x: x IS NOT NULL), ',') AS alerts
+SELECT p.pair, p.a AS baseline_run, round(CASE WHEN o.latency_mean > 0 THEN n.latency_mean / o.latency_mean END, 6) AS latency_ratio, {_ABS},
+array_to_string(list_filter([CASE WHEN n.error_rate > 0 THEN 'P1_PAGE_ERRORS' END, {_JUNK_SPIKE}, CASE WHEN o.latency_mean > 0 AND n.latency_mean / o.latency_mean > 1.5 THEN 'P2_LATENCY_REGRESSION' END, {_SHIFTS}], lambda x: x IS NOT NULL), ',') AS alerts
 FROM pairs p JOIN cm n ON n.run_id = p.b JOIN cm o ON o.run_id = p.a JOIN j2 ON j2.pair = p.pair""",
+    "drift_alerts_hard": f"""WITH {_JS_SQL}, {_HARD_SQL}, j2 AS (SELECT pair, max(hard) FILTER (what = 'script') AS js_script, max(hard) FILTER (what = 'mode') AS js_mode FROM mixes GROUP BY pair)
+SELECT p.pair, p.a AS baseline_run, {_ABS}, array_to_string(list_filter([CASE WHEN n.errors > 0 THEN 'P1_PAGE_ERRORS' END, {_JUNK_SPIKE}, {_SHIFTS}], lambda x: x IS NOT NULL), ',') AS alerts
+FROM pairs p JOIN hm n ON n.run_id = p.b JOIN hm o ON o.run_id = p.a JOIN j2 ON j2.pair = p.pair""",
     "document_ids": """SELECT run_id, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_extract(source_pdf, '[^/]*$'), '(.)\\.[^.]*$', '\\1'))), '[^a-z0-9_-]+', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'document') AS slug,
 'doc_' || left(doc_sha256, 16) AS hash_id, coalesce(lower(source_pdf) LIKE '%.pdf', false) AS pdf, strftime(strptime(left(ts_utc, 19), '%Y-%m-%dT%H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS ts FROM run_header""",
     "engine_route": f"""WITH s AS (SELECT *, {_SCRIPT_COUNTS} FROM ocr_block), r AS (SELECT *, {_SCRIPT} AS f FROM s)
 SELECT ocr_id, CASE WHEN lower(trim(mode)) = 'embedded' THEN 'none' WHEN lower(trim(mode)) = 'handwriting' OR f IN ('latin', 'unknown') THEN 'trocr' WHEN lower(trim(mode)) = 'form' THEN 'doctr' ELSE 'paddleocr' END AS route,
 CASE f WHEN 'arabic' THEN 'ar' WHEN 'cyrillic' THEN 'ru' WHEN 'cjk' THEN 'ch' ELSE 'en' END AS pack, CASE WHEN len(bbox) = 4 THEN {_BUDGET} END AS tokens FROM r""",
     "ink_gate": """SELECT ocr_id, coalesce(CASE WHEN coalesce(flags.is_form, false) THEN features.ink_ratio >= 0.0020 AND features.ink_pixels >= 180 WHEN lower(kind) = 'handwriting' THEN features.ink_ratio >= 0.0022 AND features.ink_pixels >= 140
-ELSE features.ink_ratio >= 0.0018 AND features.ink_pixels >= 160 END, false) AS passes, CASE WHEN features.ink_ratio >= 0.020 AND features.ink_pixels >= 400 THEN 'handwriting' ELSE 'printed' END AS page_mode FROM ocr_block WHERE features IS NOT NULL""",
+ELSE features.ink_ratio >= 0.0018 AND features.ink_pixels >= 160 END, false) AS passes FROM ocr_block WHERE features IS NOT NULL""",
     "reading_order": f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY run_id, page ORDER BY bbox[2], bbox[1], bbox[3], bbox[4], {_AREA}, ocr_id) AS soft FROM ocr_block WHERE bbox IS NOT NULL),
-f AS (SELECT *, row_number() OVER (PARTITION BY run_id, page ORDER BY soft) AS rank FROM b WHERE soft <= 20 AND bbox[3] > bbox[1] AND bbox[4] > bbox[2])
-SELECT ocr_id, rank, row_number() OVER (PARTITION BY run_id, page ORDER BY CASE WHEN lower(kind) = 'handwriting' THEN 1 ELSE 0 END, rank) - 1 AS crop_id FROM f WHERE rank <= 10""",
+f AS (SELECT *, row_number() OVER (PARTITION BY run_id, page ORDER BY soft) AS rank FROM b WHERE soft <= 360 AND bbox[3] > bbox[1] AND bbox[4] > bbox[2])
+SELECT ocr_id, rank, row_number() OVER (PARTITION BY run_id, page ORDER BY CASE WHEN lower(kind) = 'handwriting' THEN 1 ELSE 0 END, rank) - 1 AS crop_id FROM f WHERE rank <= 180""",
     "line_runs": """WITH p AS (SELECT DISTINCT run_id, page FROM page_summary), g AS (SELECT *, page - row_number() OVER (PARTITION BY run_id ORDER BY page) AS i FROM p)
 SELECT run_id, greatest(min(page) - 1, 0) AS y0, max(page) + 2 AS y1 FROM g GROUP BY run_id, i""",
     "first_crops": f"""WITH b AS (SELECT run_id, page, {_BUDGET} AS v, row_number() OVER (PARTITION BY run_id, page ORDER BY ocr_id) AS n FROM ocr_block WHERE bbox IS NOT NULL)

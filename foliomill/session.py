@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,20 +20,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and kept for the session.
+    Only where that is unset and everything runs on one machine, as in tests, a temporary folder is made and kept for the session; on a
+    cluster that is an error, as each executor would write to its own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="foliomill-")
+        folder = tempfile.mkdtemp(prefix="foliomill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL[app] = "file://" + folder
     return _LOCAL[app]
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder to be, below a fresh one in the shared folder, which is deleted when the application ends."""
+    top = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop)
+    fs.deleteOnExit(hadoop)
+    return f"{top}/data"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -87,6 +87,82 @@ def test_worker_stream_retries_and_dead_letters(spark, tmp_path):
     assert sorted(r.reason for r in spark.read.parquet(f"{tmp_path}/dead").collect()) == ["failed", "malformed"]
 
 
+def test_worker_keeps_attempts_of_a_batch_apart(spark, tmp_path):
+    """Two attempts of one job in a batch have each its own result; timeouts and crashes are dead letters at once; the log can be read by job."""
+    rows = [("a", "p", "d", None, 0), ("a", "p", "d", None, 1), ("slow", "p", "d", None, 0), ("gone", "p", "d", None, 0)]
+    worker.enqueue(spark.createDataFrame(rows, "job_id string, pdf_path string, out_dir string, out_name string, attempt int"), f"{tmp_path}/q")
+
+    def work(j):
+        code = F.when(F.col("job_id") == "gone", None).when((F.col("job_id") == "a") & (F.col("attempt") == 0), 1).otherwise(0)
+        return j.select("job_id", "attempt", code.alias("exit_code"), F.when(F.col("job_id") == "slow", 99.0).otherwise(0.12345).alias("runtime_s"))
+
+    out = worker.run_worker(spark, f"{tmp_path}/q", str(tmp_path), work, rounds=3, timeout_s=60.0)
+    got = sorted((r.job_id, r.attempt, r.status, r.action, r.runtime_s) for r in out.collect())
+    assert got == [("a", 0, "failed", "retry", 0.123), ("a", 1, "success", "done", 0.123), ("gone", 0, "crash", "dead", 0.123), ("slow", 0, "timeout", "dead", 99.0)]
+    assert sorted(r.reason for r in spark.read.parquet(f"{tmp_path}/dead").collect()) == ["crash", "timeout"]
+    log = [r.type for r in worker.events_of(spark, str(tmp_path), "a").collect()]
+    assert log == ["job_started", "job_started", "job_finished", "job_finished", "job_retry", "job_skipped_idempotent"]
+    assert worker.events_of(spark, str(tmp_path), "none").count() == 0
+
+
+def test_floor_quantiles_of_large_groups(spark):
+    rows = [("a", float(i % 97)) for i in range(1000)] + [("b", 1.0), ("b", None), ("c", None), (None, 5.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: r.lower for r in metrics.floor_quantiles(df, "k", "x", 0.95).collect()}
+    xs = sorted(x for k, x in rows if k == "a")
+    assert got == {"a": xs[int(0.95 * 999)], "b": 1.0, "c": None, None: 5.0}
+
+
+def test_deviation_report(spark):
+    row = {"pair": "r2", "baseline_run": "r1", "js_script": 0.2, "js_mode": 0.0, "placeholder_rate_abs": 0.1, "error_rate_abs": 0.0, "latency_ratio": None, "error_rate": 0.0, "errors": 0, "placeholder_rate": 0.2, "base_placeholder_rate": 0.1}
+    schema = "pair string, baseline_run string, js_script double, js_mode double, placeholder_rate_abs double, error_rate_abs double, latency_ratio double, error_rate double, errors long, placeholder_rate double, base_placeholder_rate double"
+    df = spark.createDataFrame([tuple(row.values())], schema)
+    text = drift.report(df.withColumn("alerts", drift.alert_list(True))).first().value
+    doc = json.loads(text)
+    assert "\n" in text and doc["deltas"] == {"js_script": 0.2, "js_mode": 0.0, "placeholder_rate_abs": 0.1, "error_rate_abs": 0.0}
+    assert [a["id"] for a in doc["alerts"]] == ["P1_JUNK_SPIKE", "P2_SCRIPT_MIX_SHIFT"]
+
+
+def test_config_reads_and_refuses():
+    from foliomill.config import Config
+
+    assert Config.read({}).max_crops == 180 and Config.read({"OCR_LOW_DPI": "150"}).low_dpi == 150
+    try:
+        Config.read({"OCR_LOW_DPI": "high"})
+        raise AssertionError
+    except ValueError as e:
+        assert "OCR_LOW_DPI" in str(e)
+
+
+def test_broken_pages_are_records(spark):
+    from foliomill.operators import prepare
+
+    image = "struct<height: int, width: int, data: binary>"
+    white = (40, 50, bytes([255]) * 2000)
+    rows = [("d", 1, None, None, None), ("d", 2, "long enough to keep", None, None), ("d", 3, "short", white, white)]
+    pages, crops = prepare.prepare(spark.createDataFrame(rows, f"doc_id string, page int, embedded string, low {image}, high {image}"))
+    assert sorted((r.page, r.mode, r.error is not None, r.printed_crops) for r in pages.collect()) == [(1, "error", True, 0), (2, "embedded", False, 0), (3, "printed", False, 0)]
+    assert crops.count() == 0 and prepare.prepare(pages.sparkSession.createDataFrame([], f"doc_id string, page int, embedded string, low {image}, high {image}"))[0].count() == 0
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from foliomill import session
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default=None: None)
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+
+
 def test_imaging_kernels():
     ink = np.zeros((60, 200), bool)
     ink[10, 5:190] = True
@@ -101,13 +177,19 @@ def test_imaging_kernels():
 
 
 def test_recognition_records_failures(spark):
+    class EchoRecogniser:
+        """A stand-in for a model: the bytes are the text, cut to the token budget."""
+
+        def read(self, images, kinds, tokens):
+            return [b.decode("utf-8", "replace")[: 4 * n] for b, n in zip(images, tokens)]
+
     class Fails:
         def read(self, images, kinds, tokens):
             raise ValueError("no model")
 
     rows = [("r", 1, i, "printed", 2, b"hello world") for i in range(3)]
     crops = spark.createDataFrame(rows, "run_id string, page int, crop_id int, kind string, tokens int, image binary")
-    assert {r.text for r in recognise.recognise(crops, recognise.EchoRecogniser).collect()} == {"hello wo"}
+    assert {r.text for r in recognise.recognise(crops, EchoRecogniser).collect()} == {"hello wo"}
     assert all(r.error.startswith("ValueError") for r in recognise.recognise(crops, Fails).collect())
     assert not recognise.available("no_such_engine")
 

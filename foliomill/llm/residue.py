@@ -6,7 +6,8 @@ length, and is subtracted where it stands by itself, not inside a running paragr
 subtracted only if it stands in most records of the host: then it is the host's furniture and says nothing of the record. What is
 left of a record, its residual, is judged: an unfilled placeholder anywhere in it is residue; filler, error messages and
 scripts-required notices count if the residual consists of them, so that real text which mentions or quotes one stays. A record
-of nothing but boilerplate is judged as it is.
+of nothing but boilerplate is judged as it is, and so is one whose message has lost a line of its own to the subtraction: the kinds that
+a text must consist of throughout hold for the whole text, too.
 
 The flags a record carries aren't used. Defined cases. Null and blank texts, symbol-only, digit-only and single-letter texts are no
 cases. Repeated rows are judged each; null hosts form one host. Only the named columns are read, so extra columns can't
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS, let
 
-#: A normalised line is boilerplate if it stands in so many records of one host, or in records of so many hosts.
+#: A normalised line is boilerplate in a host if it stands in so many of its records, and everywhere if it stands in records of so many
+#: hosts, which are also this share of all: a share, so that a line isn't boilerplate only because the corpus is large.
 HOST_RECORDS = 3
-HOSTS = 5
+HOSTS, HOSTS_SHARE = 5, 0.001
 #: A line that holds evidence is a host's furniture if it stands in so many records of it, and in this share of all of them.
 FURNITURE_RECORDS, FURNITURE_SHARE = 5, 0.5
 
@@ -235,13 +237,14 @@ def boilerplate(df: DataFrame, host: str = "run_id", record: str = "ocr_id") ->
     """host, a, b (the hash of a line), furniture: the lines that are boilerplate in the records of a host."""
     lines = df.select(F.col(host).alias("host"), F.explode(F.array_distinct(normal_lines(F.col("text")))).alias("line"))
     by_host = lines.select("host", _hashed(F.col("line")).alias("h")).select("host", "h.*").groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    by_line = by_host.groupBy("a", "b").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("hosts"))
-    recurs = by_line.where((F.col("most") >= HOST_RECORDS) | (F.col("hosts") >= HOSTS)).select("a", "b")
+    least = max(HOSTS, df.select(host).distinct().count() * HOSTS_SHARE)
+    recurs = by_host.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= least).select("a", "b", F.lit(True).alias("everywhere"))
     records = df.where(F.length("text") > 0).groupBy(F.col(host).alias("of")).agg(F.count(F.lit(1)).alias("records"))
     often = by_host.where(F.col("n") >= FURNITURE_RECORDS)
     often = often.join(records, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") >= F.col("records") * FURNITURE_SHARE)
     often = often.select("host", "a", "b", F.lit(True).alias("furniture"))
-    plain = by_host.join(recurs, ["a", "b"], "left_semi").select("host", "a", "b", F.lit(False).alias("furniture"))
+    plain = by_host.join(recurs, ["a", "b"], "left").where(F.col("everywhere").isNotNull() | (F.col("n") >= HOST_RECORDS))
+    plain = plain.select("host", "a", "b", F.lit(False).alias("furniture"))
     return plain.unionByName(often).groupBy("host", "a", "b").agg(F.max("furniture").alias("furniture"))
 
 
@@ -292,7 +295,8 @@ def judge(df: DataFrame) -> DataFrame:
     """ocr_id, kind of each record: 'placeholder', 'filler', 'error', 'script', or null for content."""
     rows = df.select("ocr_id", "run_id", "text")
     both = rows.join(gone_lines(rows), F.col("ocr_id") == F.col("gid"), "left")
-    return both.select("ocr_id", kind(residual(F.col("text"), F.col("gone"))).alias("kind"))
+    whole = F.when(F.col("gone").isNotNull(), let(joined(F.col("text"), over_blank=True), lambda x: _whole(sentences(F.lower(x)))))
+    return both.select("ocr_id", F.coalesce(kind(residual(F.col("text"), F.col("gone"))), whole).alias("kind"))
 
 
 def _whole(parts: Column) -> Column:

@@ -113,6 +113,8 @@ PLANTED = [
     *(("dead", "Service Unavailable", "error") for _ in range(6)),
     # a template that returns, but not throughout the host, is no furniture
     *(("mail", "Dear {{first_name}}, your file was received.\nThe clerk weighed the valve.", "placeholder") for _ in range(5)),
+    # a message whose own first word is a line that returns
+    ("dead", "Error\n502: Bad Gateway", "error"),
     # a recurrent line inside a paragraph isn't subtracted: this quotes a message
     ("bar", "The terminal showed the harbour archive\nPage not found\nand nothing else that day.", None),
 ]
@@ -123,6 +125,7 @@ def test_residue_subtraction_decides_both_ways(spark):
     more = [("bar", f"{bar}\nThe surveyor counted {w} boxes before noon.") for w in ("two", "three", "four")]
     more += [("mail", f"The surveyor counted {w} crates before noon.") for w in ("two", "three", "four", "five", "six", "seven", "eight")]
     more += [(h, "The terminal showed the harbour archive\nwhich was closed.") for h in "abcde"]
+    more += [(h, f"Error\n{i}00 sheets were counted twice by the {h} clerk.") for i, h in enumerate("abcdefg")]
     df = _residue_rows(spark, [(h, t) for h, t, _ in PLANTED] + more)
     got = {r.ocr_id: r.kind for r in residue.judge(df).collect()}
     assert [got[i] for i in range(len(PLANTED))] == [k for _, _, k in PLANTED]

@@ -125,7 +125,7 @@ def test_residue_subtraction_decides_both_ways(spark):
     more = [("bar", f"{bar}\nThe surveyor counted {w} boxes before noon.") for w in ("two", "three", "four")]
     more += [("mail", f"The surveyor counted {w} crates before noon.") for w in ("two", "three", "four", "five", "six", "seven", "eight")]
     more += [(h, "The terminal showed the harbour archive\nwhich was closed.") for h in "abcde"]
-    more += [(h, f"Error\n{i}00 sheets were counted twice by the {h} clerk.") for i, h in enumerate("abcdefg")]
+    more += [(h, f"Error\nwas noted twice by the {h} clerk before noon.") for h in "abcdefg"]
     df = _residue_rows(spark, [(h, t) for h, t, _ in PLANTED] + more)
     got = {r.ocr_id: r.kind for r in residue.judge(df).collect()}
     assert [got[i] for i in range(len(PLANTED))] == [k for _, _, k in PLANTED]

@@ -6,8 +6,8 @@ micro-batch; identifiers that expire are put out too, and what comes later is lo
 
 Identifiers are grouped by hash, and a group's live identifiers are one value of the state store, so that Python runs once a group and
 batch and a batch reads and writes only the groups its identifiers fall into. An entry of its own for each identifier was tried twice (a
-group state each, and map state within a group): its round trips between Python and the store took some forty times as long. So the number of groups
-is the parameter that scales: with some thousand identifiers a group, a group costs a few ms whatever the corpus. Expired
+group state each, and map state within a group): it costs round trips between Python and the store that grow with the messages. So the number
+of groups is the parameter that scales: with some thousand identifiers a group, a group costs a few ms whatever the corpus. Expired
 identifiers are kept in a table by key hash, of which a batch reads the parts its new identifiers fall into.
 
 Defined cases. The key is (job_id without outer blanks and in lower case, attempt with null as 0). Rows whose job_id is

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, let
+from ..session import materialize
 
 #: A normalised line is boilerplate in a host if it stands in so many of its records, and everywhere if it stands in records of so many
 #: hosts, which are also this share of all: a share, so that a line isn't boilerplate only because the corpus is large.
@@ -237,6 +238,7 @@ def boilerplate(df: DataFrame, host: str = "run_id", record: str = "ocr_id") ->
     """host, a, b (the hash of a line), furniture: the lines that are boilerplate in the records of a host."""
     lines = df.select(F.col(host).alias("host"), F.explode(F.array_distinct(normal_lines(F.col("text")))).alias("line"))
     by_host = lines.select("host", _hashed(F.col("line")).alias("h")).select("host", "h.*").groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    by_host = materialize(by_host, "host-lines")  # used three times
     least = max(HOSTS, df.select(host).distinct().count() * HOSTS_SHARE)
     recurs = by_host.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= least).select("a", "b", F.lit(True).alias("everywhere"))
     records = df.where(F.length("text") > 0).groupBy(F.col(host).alias("of")).agg(F.count(F.lit(1)).alias("records"))

@@ -17,7 +17,6 @@ recurrent, as pages are counted. Only the named columns are read. Empty tables g
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections.abc import Iterator
@@ -171,9 +170,21 @@ _PAGE_WORD = "page|pg|p|seite|s|pag|página|pagina|pág|blz|bladzijde|стран
 _OF = r"\s*(?:/|of|von|de|di|da|sur|van|out of|из|з|από|من|\|)\s*"
 
 
-@functools.lru_cache(maxsize=16_384)
+# Kept by page in plain dictionaries: a function in lru_cache goes to the workers by its module's name, which they may not have.
+_PATTERNS: dict[int, tuple[re.Pattern, re.Pattern, re.Pattern]] = {}
+KEPT_PATTERNS = 16_384
+
+
 def number_patterns(page: int) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     """The printed number of this page: as a whole line, at the head of one, at its end."""
+    if page not in _PATTERNS:
+        if len(_PATTERNS) >= KEPT_PATTERNS:
+            _PATTERNS.clear()
+        _PATTERNS[page] = _number_patterns(page)
+    return _PATTERNS[page]
+
+
+def _number_patterns(page: int) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     n = rf"(?:0*{page}|{roman(page)})" if 0 < page < 4000 else rf"0*{page}"
     open_, close = r"[\[(<*~_=.\-–—·• ]*", r"[\])>*~_=.\-–—·• ]*"
     word = rf"(?:(?:{_PAGE_WORD})\.?\s*)"
@@ -283,10 +294,18 @@ def _observations(lines: list[str], patterns: tuple[re.Pattern, ...] | None, hea
     return out
 
 
-@functools.lru_cache(maxsize=2)
-def line_model(runs: int = scan_labels.RUNS, seed: int = scan_labels.SEED) -> tuple[dict, list, list, float]:
+_MODELS: dict[tuple[int, int], tuple] = {}
+
+
+def line_model(runs: int = scan_labels.RUNS, seed: int = scan_labels.SEED) -> tuple[list, list, list, float]:
     """(log emissions by state and observation, log transitions, log start, log of what was never observed), estimated from the labelled
-    pages by counts with half a count added to each."""
+    pages by counts with half a count added to each; once a process."""
+    if (runs, seed) not in _MODELS:
+        _MODELS[runs, seed] = _line_model(runs, seed)
+    return _MODELS[runs, seed]
+
+
+def _line_model(runs: int, seed: int) -> tuple[list, list, list, float]:
     emitted: list[dict] = [{} for _ in STATES]
     total = [0] * len(STATES)
     steps = [[0.5] * len(STATES) for _ in STATES]

@@ -37,10 +37,10 @@ class Config:
     prefetch: int = _knob("OCR_PREFETCH", 2)
     batch: int = _knob("OCR_BATCH", 2)
     hard_page_timeout_s: float = _knob("OCR_HARD_PAGE_TIMEOUT", 0.0)
-    max_retries: int = _knob("CLARITY_MAX_RETRIES", 2)
+    max_retries: int = _knob("JOB_MAX_RETRIES", 2)
     job_timeout_s: float = _knob("JOB_TIMEOUT", 3600.0)
-    data_in: str = _knob("CLARITY_DATA_IN", "/data/in")
-    data_out: str = _knob("CLARITY_DATA_OUT", "/data/out")
+    data_in: str = _knob("OCR_DATA_IN", "/data/in")
+    data_out: str = _knob("OCR_DATA_OUT", "/data/out")
 
     @classmethod
     def read(cls, env: Mapping[str, str]) -> Config:
